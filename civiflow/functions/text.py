@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -33,43 +34,67 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join(singles), "".join(singles.values()), multiples
 
 
-@cache
-def _combining_class() -> str:
-    """Regex class of the combining marks in the basic plane."""
-    codes = [c for c in range(0x10000) if unicodedata.combining(chr(c))]
+def _ranges(codes: list[int], gap: int = 1) -> str:
+    """Regex class covering the sorted code points, closing gaps up to ``gap``."""
     spans: list[list[int]] = []
     for c in codes:
-        if spans and spans[-1][1] == c - 1:
+        if spans and c - spans[-1][1] <= gap:
             spans[-1][1] = c
         else:
             spans.append([c, c])
     return "[" + "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in spans) + "]"
 
 
+@cache
+def _combining_class() -> str:
+    """Combining marks of the basic plane."""
+    return _ranges([c for c in range(0x10000) if unicodedata.combining(chr(c))])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    A plain reference would be copied into every place it is used, also inside
+    lambdas, where it would be computed again for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_accents(c: Column) -> Column:
     """Decompose, then drop the marks; pure ASCII text is passed through."""
     source, target, multiples = _decompositions()
-    plain = F.translate(F.regexp_replace(c, _combining_class(), ""), source, target)
-    table = F.create_map(*[F.lit(x) for pair in multiples.items() for x in pair])
-    spelled = F.array_join(
-        F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
+    # One literal for the whole map; a wide class is enough to find texts that need it.
+    table = F.str_to_map(
+        F.lit("\x02".join(f"{k}\x01{v}" for k, v in multiples.items())), F.lit("\x02"), F.lit("\x01")
     )
-    some = "[" + "".join(re.escape(ch) for ch in multiples) + "]"
-    full = F.when(plain.rlike(some), spelled).otherwise(plain)
-    return F.when(c.rlike(r"[^\x00-\x7f]"), full).otherwise(c)
+    maybe = _ranges(sorted(map(ord, multiples)), gap=64)
+
+    def unmarked(text: Column) -> Column:
+        return F.when(text.rlike(r"\p{M}"), F.regexp_replace(text, _combining_class(), "")).otherwise(text)
+
+    def spelled(text: Column) -> Column:
+        letters = F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
+        return F.when(text.rlike(maybe), F.array_join(letters, "")).otherwise(text)
+
+    plain = F.translate(unmarked(c), source, target)
+    return F.when(c.rlike(r"[^\x00-\x7f]"), let(plain, spelled)).otherwise(c)
 
 
 def tokens(c: Column) -> Column:
     """Lower-cased, accent-free tokens of at least two characters."""
-    text = strip_accents(F.lower(F.coalesce(c, F.lit(""))))
+    text = let(F.lower(F.coalesce(c, F.lit(""))), strip_accents)
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def with_bigrams(words: Column) -> Column:
     """The tokens, then each pair of neighbours joined by a blank."""
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+
+    def joined(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(w, pairs)
+
+    return let(words, joined)
 
 
 def feature_names(terms: list[str], prefix: str = "tfidf_descriptor__") -> list[str]:

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from civiflow.plans.joins import lookup
 from civiflow.plans.ordered import cut_keys, first_n
-from civiflow.plans.staging import stage
 
-MISSING_ID = "__id_missing"
-TIME_ORDER = ["created_date", MISSING_ID, "request_id"]
+ID_KEY = "__id_key"
+TIME_ORDER = ["created_date", ID_KEY]
 
 
 def _tagged(df: DataFrame) -> DataFrame:
     # Missing ids sort last.
-    return df.withColumn(MISSING_ID, F.col("request_id").isNull())
+    return df.withColumn(ID_KEY, F.struct(F.col("request_id").isNull(), F.col("request_id")))
 
 
 def time_split(
@@ -33,18 +32,11 @@ def time_split(
     """
     wanted = [*cities, external] if external else list(cities)
     rows = _tagged(df.filter(F.col("city").isin(wanted)))
-    cuts = stage(
-        cut_keys(
-            rows.filter(F.col("city").isin(cities)),
-            ["city"],
-            TIME_ORDER,
-            {
-                "__train_end": lambda n: F.floor(n * F.lit(train_fraction)),
-                "__val_end": lambda n: F.floor(n * F.lit(train_fraction + val_fraction)),
-            },
-        ),
-        "cuts",
-    )
+    positions = {
+        "__train_end": lambda n: F.floor(n * F.lit(train_fraction)),
+        "__val_end": lambda n: F.floor(n * F.lit(train_fraction + val_fraction)),
+    }
+    cuts = cut_keys(rows.filter(F.col("city").isin(cities)), ["city"], TIME_ORDER, positions)
     key = F.struct(*TIME_ORDER)
 
     def before(cut: str) -> Column:
@@ -54,7 +46,7 @@ def time_split(
     if external:
         part = F.when(F.col("city") == external, "external_test").otherwise(part)
     joined = lookup(rows, cuts, ["city"])
-    return joined.withColumn("split", part).drop("__train_end", "__val_end", MISSING_ID)
+    return joined.withColumn("split", part).drop("__train_end", "__val_end", ID_KEY)
 
 
 def pooled(split: DataFrame, cities: list[str], name: str) -> DataFrame:
@@ -77,9 +69,9 @@ def sample_rows(df: DataFrame, by: list[str], limit: int, seed: int = 42) -> Dat
     Groups below the limit are kept whole.
     """
     hashed = _tagged(df).withColumn("__hash", F.xxhash64(F.col("request_id"), F.lit(seed)))
-    return first_n(hashed, by, ["__hash", *TIME_ORDER], limit).drop("__hash", MISSING_ID)
+    return first_n(hashed, by, ["__hash", *TIME_ORDER], limit).drop("__hash", ID_KEY)
 
 
 def first_in_time(df: DataFrame, by: list[str], limit: int) -> DataFrame:
     """The ``limit`` earliest rows of each group."""
-    return first_n(_tagged(df), by, TIME_ORDER, limit).drop(MISSING_ID)
+    return first_n(_tagged(df), by, TIME_ORDER, limit).drop(ID_KEY)

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiflow.functions.text import feature_names, tokens, with_bigrams
+from civiflow.functions.text import feature_names, let, tokens, with_bigrams
+from civiflow.plans.staging import spread
 
 
 def terms(text: str) -> Column:
@@ -20,16 +21,19 @@ def term_statistics(df: DataFrame, text: str) -> DataFrame:
     Each document is sorted in place so that the first copy of a term can be
     told from the rest; one map-side combined aggregation then gives both.
     """
-    words = df.select(F.sort_array(terms(text)).alias("w"))
-    marked = F.transform(
-        F.col("w"),
-        lambda t, i: F.struct(
-            t.alias("term"),
-            F.when((i > 0) & (F.get(F.col("w"), i - 1) == t), 0).otherwise(1).alias("first"),
-        ),
-    )
+
+    def marked(words: Column) -> Column:
+        return F.transform(
+            words,
+            lambda t, i: F.struct(
+                t.alias("term"),
+                F.when((i > 0) & (F.get(words, i - 1) == t), 0).otherwise(1).alias("first"),
+            ),
+        )
+
     return (
-        words.select(F.inline(marked))
+        spread(df.select(text))
+        .select(F.inline(let(F.sort_array(terms(text)), marked)))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("term_count"), F.sum("first").alias("document_frequency"))
     )
@@ -83,19 +87,19 @@ class TfidfModel:
                 for t, i in zip(self.terms, self.idf, strict=True)
             ]
         )
-        hits = df.withColumn("__hits", F.filter(terms(text), lambda w: F.array_contains(known, w)))
-        weighted = hits.withColumn(
-            "__raw",
-            F.transform(
-                pairs,
-                lambda p: F.size(F.filter(F.col("__hits"), lambda w: w == p["t"])) * p["idf"],
-            ),
-        )
-        square = F.aggregate("__raw", F.lit(0.0), lambda acc, x: acc + x * x)
-        normed = weighted.withColumn("__norm", F.sqrt(square))
-        divisor = F.when(F.col("__norm") > 0, F.col("__norm")).otherwise(F.lit(1.0))
-        vector = F.transform("__raw", lambda x: x / divisor)
-        return normed.withColumn(out, vector).drop("__hits", "__raw", "__norm")
+
+        def weighted(hits: Column) -> Column:
+            return F.transform(pairs, lambda p: F.size(F.filter(hits, lambda w: w == p["t"])) * p["idf"])
+
+        def norm(raw: Column) -> Column:
+            length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
+            return F.when(length > 0, length).otherwise(F.lit(1.0))
+
+        def unit(raw: Column) -> Column:
+            return let(norm(raw), lambda n: F.transform(raw, lambda x: x / n))
+
+        hits = F.filter(terms(text), lambda w: F.array_contains(known, w))
+        return spread(df).withColumn(out, let(let(hits, weighted), unit))
 
     def with_columns(self, df: DataFrame, text: str) -> DataFrame:
         """Add one float column per term."""

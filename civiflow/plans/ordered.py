@@ -90,7 +90,8 @@ def cut_keys(
     The result has one row per group and one struct column per name, NULL where
     the position lies outside the group. Positions are located one order column
     at a time: counts per distinct value first, then only the rows that share
-    the value found are looked at for the next column.
+    the value found are looked at for the next column. The result is derived from
+    a staged table, so its size is known when it is joined.
     """
     rows = df.select(*group, *order)
     targets = None
@@ -147,21 +148,15 @@ def first_n(df: DataFrame, group: list[str], order: list[str], limit: Column | i
         df = df.withColumn("__limit", limit)
         positions = {"__end": lambda total: F.col("__limit")}
         keys = [*group, "__limit"]
-    ends = stage(cut_keys(df, keys, order, positions), "ends")
-    out = lookup(df, ends, keys)
+    out = lookup(df, cut_keys(df, keys, order, positions), keys)
     return out.filter(F.col("__end").isNull() | (F.struct(*order) < F.col("__end"))).drop("__end", "__limit")
 
 
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """Rows at positions [offset, offset + limit) of a total order."""
     tagged = df.withColumn("__all", F.lit(1))
-    bounds = stage(
-        cut_keys(
-            tagged, ["__all"], order,
-            {"__from": lambda total: F.lit(offset), "__to": lambda total: F.lit(offset + limit)},
-        ),
-        "bounds",
-    )
+    positions = {"__from": lambda total: F.lit(offset), "__to": lambda total: F.lit(offset + limit)}
+    bounds = cut_keys(tagged, ["__all"], order, positions)
     key = F.struct(*order)
     inside = (key >= F.col("__from")) & (F.col("__to").isNull() | (key < F.col("__to")))
     return lookup(tagged, bounds, ["__all"], "inner").filter(inside).drop("__all", "__from", "__to")

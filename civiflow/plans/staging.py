@@ -45,3 +45,12 @@ def stage(df: DataFrame, label: str = "table", partition_by: list[str] | None =
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row-wise work on an input of few splits.
+
+    Inputs with enough splits, as any large table has, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
