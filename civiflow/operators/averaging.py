@@ -90,7 +90,8 @@ def stop_rounds(history: DataFrame, by: list[str], patience: int, min_delta: flo
         )
         return F.when(acc["stale"] >= patience, acc).otherwise(moved)
 
-    rounds = F.sort_array(F.collect_list(F.struct(F.col("round").cast("int"), F.col("metric").cast("double"))))
+    entry = F.struct(F.col("round").cast("int").alias("round"), F.col("metric").cast("double").alias("metric"))
+    rounds = F.sort_array(F.collect_list(entry))
     return (
         history.groupBy(*by)
         .agg(F.aggregate(rounds, start, step).alias("s"))

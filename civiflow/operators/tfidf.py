@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,13 +81,9 @@ class TfidfModel:
 
     def with_vector(self, df: DataFrame, text: str, out: str) -> DataFrame:
         """Add the dense weights as an array; rows are not moved."""
-        known = F.array(*[F.lit(t) for t in self.terms])
-        pairs = F.array(
-            *[
-                F.struct(F.lit(t).alias("t"), F.lit(i).alias("idf"))
-                for t, i in zip(self.terms, self.idf, strict=True)
-            ]
-        )
+        known = F.from_json(F.lit(json.dumps(self.terms)), "array<string>")
+        rows = [{"t": t, "idf": i} for t, i in zip(self.terms, self.idf, strict=True)]
+        pairs = F.from_json(F.lit(json.dumps(rows)), "array<struct<t: string, idf: double>>")
 
         def weighted(hits: Column) -> Column:
             return F.transform(pairs, lambda p: F.size(F.filter(hits, lambda w: w == p["t"])) * p["idf"])
