@@ -150,7 +150,8 @@ class Preprocessor:
         for c in self.categorical:
             known = self.levels.filter(F.col("feature") == c).select(F.col("value").alias("__v"), F.col("label"))
             out = lookup(out.withColumn("__v", F.coalesce(F.col(c), F.lit(MISSING))), known, ["__v"])
-            out = out.withColumn(f"__l_{c}", F.coalesce("label", F.lit(UNSEEN))).drop("__v", "label")
+            # The indexer refuses blank names, hence the prefix.
+            out = out.withColumn(f"__l_{c}", F.concat(F.lit("="), F.coalesce("label", F.lit(UNSEEN)))).drop("__v", "label")
         values = imputed(self.numeric, self.fill)
         if self.scale:
             shift = self.mean if self.center else {}

@@ -48,7 +48,7 @@ def read_drifting_csv(
     )
     older = F.from_csv(
         F.col(bad),
-        _text_schema(narrow).add(bad_again, T.StringType()).simpleString().removeprefix("struct<").removesuffix(">"),
+        ", ".join(f"`{n}` STRING" for n in [*narrow, bad_again]),
         {"columnNameOfCorruptRecord": bad_again, "mode": "PERMISSIVE", "escape": '"', "multiLine": "true"},
     )
     parsed = rows.withColumn("__older", older)
