@@ -49,22 +49,15 @@ def vocabulary(spark, sf_dir):
     return tfidf.vocabulary(docs, "text")
 
 
-def weights(model, df, key, text):
-    """Long form of the non-zero weights."""
-    vectors = model.with_vector(df.select(key, text), text, "w").select(key, F.posexplode("w").alias("i", "weight"))
-    terms = F.array(*[F.lit(t) for t in model.terms])
-    return vectors.filter("weight > 0").select(key, F.get(terms, F.col("i")).alias("term"), "weight")
-
-
 def document_weights(spark, sf_dir):
     model = tfidf.TfidfModel.of(vocabulary(spark, sf_dir))
-    return finish(weights(model, table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return finish(model.weight_rows(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def descriptor_weights(spark, sf_dir):
     rows = stage(labeled(spark, sf_dir).select("request_id", "city", "descriptor"), "descriptors")
     model = features.fit_descriptor_model(rows, CLIENTS)
-    return finish(weights(model, rows, "request_id", "descriptor"))
+    return finish(model.weight_rows(rows, "request_id", "descriptor"))
 
 
 def vocabulary_names(spark, sf_dir):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civiflow.plans.staging import spread
+
 CLIENTS = ["AFRICA", "AMERICA", "ASIA"]
 EXTERNAL = "EUROPE"
 CLIENTS_SQL = "('AFRICA', 'AMERICA', 'ASIA')"
@@ -45,6 +47,7 @@ def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o, c, n, r, p, s = (
         table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
     )
+    li = spread(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
     joined = (
         li.join(o, li.l_orderkey == o.o_orderkey)
         .join(c, o.o_custkey == c.c_custkey)
@@ -55,7 +58,7 @@ def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     status = F.when(F.col("o_orderstatus") == "F", "Closed").when(F.col("o_orderstatus") == "O", " completed ")
 
-    def spread(factor: int, modulus: int, shift: float):
+    def scatter(factor: int, modulus: int, shift: float):
         return (F.col("o_custkey") * factor % modulus).cast("double") / F.lit(10.0) - F.lit(shift)
 
     return joined.select(
@@ -66,8 +69,8 @@ def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("category"),
         F.col("p_name").alias("descriptor"),
         F.when(F.col("l_suppkey") % 50 == 0, "").otherwise(F.col("s_name")).alias("agency"),
-        spread(37, 1900, 95.0).alias("latitude"),
-        spread(91, 3700, 185.0).alias("longitude"),
+        scatter(37, 1900, 95.0).alias("latitude"),
+        scatter(91, 3700, 185.0).alias("longitude"),
         F.col("n_name").alias("area"),
         F.col("r_name").alias("city"),
     )

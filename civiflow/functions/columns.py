@@ -15,9 +15,13 @@ MICROS_PER_HOUR = 3_600_000_000
 MICROS_PER_DAY = 86_400_000_000
 
 
+# Every character text stripping treats as white space.
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank_to_null(c: Column) -> Column:

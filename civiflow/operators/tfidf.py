@@ -79,8 +79,8 @@ class TfidfModel:
     def names(self) -> list[str]:
         return feature_names(self.terms)
 
-    def with_vector(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        """Add the dense weights as an array; rows are not moved."""
+    def _vector(self, text: str) -> Column:
+        """Dense weights of unit length, computed inside the row."""
         known = F.from_json(F.lit(json.dumps(self.terms)), "array<string>")
         rows = [{"t": t, "idf": i} for t, i in zip(self.terms, self.idf, strict=True)]
         pairs = F.from_json(F.lit(json.dumps(rows)), "array<struct<t: string, idf: double>>")
@@ -96,7 +96,20 @@ class TfidfModel:
             return let(norm(raw), lambda n: F.transform(raw, lambda x: x / n))
 
         hits = F.filter(terms(text), lambda w: F.array_contains(known, w))
-        return spread(df).withColumn(out, let(let(hits, weighted), unit))
+        return let(let(hits, weighted), unit)
+
+    def with_vector(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        """Add the dense weights as an array; rows are not moved."""
+        return spread(df).withColumn(out, self._vector(text))
+
+    def weight_rows(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """Long form (key, term, weight) of the non-zero weights."""
+        names = F.from_json(F.lit(json.dumps(self.terms)), "array<string>")
+        cells = F.zip_with(
+            names, self._vector(text), lambda t, w: F.struct(t.alias("term"), w.alias("weight"))
+        )
+        found = F.filter(cells, lambda c: c["weight"] > 0)
+        return spread(df.select(key, text)).select(key, F.inline(found))
 
     def with_columns(self, df: DataFrame, text: str) -> DataFrame:
         """Add one float column per term."""

@@ -25,34 +25,34 @@ def trailing_counts(df: DataFrame, base: list[str], kinds: list[str], ts: str, d
         .select(*base, ts, F.inline(values))
         .groupBy(*base, "kind", "value", ts)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("t", epoch_micros(F.col(ts)))
+        .withColumn("__t", epoch_micros(F.col(ts)))
     )
     steps = F.array(
-        F.struct(F.col("t").alias("at"), F.col("n").alias("step"), F.col("n").alias("own")),
+        F.struct(F.col("__t").alias("__at"), F.col("n").alias("__step"), F.col("n").alias("__own")),
         F.struct(
-            (F.col("t") + F.lit(days * MICROS_PER_DAY)).alias("at"),
-            (-F.col("n")).alias("step"),
-            F.lit(0).cast("bigint").alias("own"),
+            (F.col("__t") + F.lit(days * MICROS_PER_DAY)).alias("__at"),
+            (-F.col("n")).alias("__step"),
+            F.lit(0).cast("bigint").alias("__own"),
         ),
     )
     key = [*base, "kind", "value"]
     events = points.select(*key, ts, F.inline(steps)).withColumn(
-        "day", F.floor(F.col("at") / F.lit(MICROS_PER_DAY))
+        "__day", F.floor(F.col("__at") / F.lit(MICROS_PER_DAY))
     )
-    per_day = F.struct(*key, "day")
-    earlier = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    per_day = F.struct(*key, "__day")
+    earlier = Window.partitionBy(*key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        events.groupBy(*key, "day")
-        .agg(F.sum("step").alias("s"))
+        events.groupBy(*key, "__day")
+        .agg(F.sum("__step").alias("s"))
         .select(per_day.alias("__start_key"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("start"))
     )
-    inside = Window.partitionBy("__key").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__key").orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
     running = (
         events.withColumn("__key", per_day)
         .join(starts, F.col("__key") == F.col("__start_key"))
-        .withColumn("trailing", F.col("start") + F.coalesce(F.sum("step").over(inside), F.lit(0)))
+        .withColumn("trailing", F.col("start") + F.coalesce(F.sum("__step").over(inside), F.lit(0)))
     )
-    return running.filter("own > 0").select(*key, ts, F.col("own").alias("n"), "trailing")
+    return running.filter("__own > 0").select(*key, ts, F.col("__own").alias("n"), "trailing")
 
 
 def with_trailing_counts(
@@ -63,9 +63,9 @@ def with_trailing_counts(
     out = df
     for kind, name in names.items():
         counts = table.filter(F.col("kind") == kind).select(
-            *base, F.col("value").alias("__value"), ts, "n", F.col("trailing").cast("int").alias(name)
+            *base, F.col("value").alias("__value"), ts, F.col("n").alias("__n"), F.col("trailing").cast("int").alias(name)
         )
         keyed = out.withColumn("__value", F.col(kind).cast("string"))
-        out = weighted_lookup(keyed, counts, [*base, "__value", ts], "n").drop("__value")
+        out = weighted_lookup(keyed, counts, [*base, "__value", ts], "__n").drop("__value")
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
+MIN_HOT_ROWS = 1_000_000
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -29,17 +30,18 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
 
 
 def weighted_lookup(
-    left: DataFrame, right: DataFrame, keys: list[str], weight: str, hot_keys: int = HOT_KEYS
+    left: DataFrame, right: DataFrame, keys: list[str], weight: str, hot_keys: int = HOT_KEYS, min_rows: int = MIN_HOT_ROWS
 ) -> DataFrame:
     """Left join where ``right.weight`` says how many left rows each key has.
 
-    Keys holding more than 1/hot_keys of the rows are at most ``hot_keys`` in
-    number, so that part of ``right`` is broadcast whatever the data size; the
-    others are joined by shuffle, where none of them can overload a task.
+    Keys holding more than 1/hot_keys of the rows are fewer than ``hot_keys``, so
+    that part of ``right`` is broadcast whatever the data size; the others are
+    joined by shuffle, where none of them can overload a task. Keys of no more
+    than ``min_rows`` rows need no such care.
     ``right`` should be staged: it is read twice.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
-    limit = max(total / hot_keys, 1_000_000)
+    limit = max(total / hot_keys, min_rows)
     hot = right.filter(F.col(weight) > limit)
     if total <= limit or hot.limit(1).count() == 0:
         return lookup(left, right.drop(weight), keys)
