@@ -112,7 +112,7 @@ cleaned AS (
 
 LABEL_CTES = f"""{CLEAN_CTES},
 thresholds AS (
-  SELECT city, category, quantile_cont(resolution_hours, 0.75) AS delay_threshold_hours
+  SELECT city, category, quantile_cont(resolution_hours, 0.75) AS delay_threshold_hours, count(*) AS n
   FROM cleaned GROUP BY city, category),
 labeled AS (
   SELECT c.*, t.delay_threshold_hours,

@@ -245,11 +245,11 @@ FROM cleaned GROUP BY city""",
 SELECT city, request_id, created_date, closed_date, area FROM service_requests
 QUALIFY row_number() OVER (PARTITION BY city, request_id
     ORDER BY created_date, closed_date, category, descriptor, agency, latitude, longitude, area, status) = 1""",
-    "frequent_categories": f"""SELECT city, category FROM ({SERVICE_REQUESTS_SQL})
+    "frequent_categories": f"""SELECT city, category, count(*) AS n FROM ({SERVICE_REQUESTS_SQL})
 GROUP BY 1, 2 HAVING count(*) >= 400""",
     "category_frequency": f"SELECT city, category, count(*) AS n FROM ({SERVICE_REQUESTS_SQL}) GROUP BY 1, 2",
     "delay_thresholds": f"""WITH {LABEL_CTES}
-SELECT city, category, round(delay_threshold_hours, 6) AS delay_threshold_hours FROM thresholds""",
+SELECT city, category, round(delay_threshold_hours, 6) AS delay_threshold_hours, n FROM thresholds""",
     "delayed_labels": f"""WITH {LABEL_CTES}
 SELECT request_id, city, round(delay_threshold_hours, 6) AS delay_threshold_hours, delayed FROM labeled""",
     "labeling_summary": f"""WITH {LABEL_CTES}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiflow.operators.features import CATEGORICAL, IDENTITY, TARGETS
-from civiflow.plans.joins import lookup
+from civiflow.plans.joins import weighted_lookup
 from civiflow.plans.ordered import exact_quantiles
 from civiflow.plans.staging import stage
 
@@ -47,7 +47,7 @@ def unpivot(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    return exact_quantiles(unpivot(df, columns, "double"), ["feature"], "value", {"median": 0.5})
+    return exact_quantiles(unpivot(df, columns, "double"), ["feature"], "value", {"median": 0.5}).drop("n")
 
 
 def imputed(columns: list[str], fill: dict[str, float]) -> dict[str, Column]:
@@ -148,10 +148,14 @@ class Preprocessor:
     def _columns(self, df: DataFrame) -> DataFrame:
         out = df
         for c in self.categorical:
-            known = self.levels.filter(F.col("feature") == c).select(F.col("value").alias("__v"), F.col("label"))
-            out = lookup(out.withColumn("__v", F.coalesce(F.col(c), F.lit(MISSING))), known, ["__v"])
+            known = self.levels.filter(F.col("feature") == c).select(
+                F.col("value").alias("__v"), F.col("label").alias("__label"), "n"
+            )
+            keyed = out.withColumn("__v", F.coalesce(F.col(c), F.lit(MISSING)))
+            out = weighted_lookup(keyed, known, ["__v"], "n")
             # The indexer refuses blank names, hence the prefix.
-            out = out.withColumn(f"__l_{c}", F.concat(F.lit("="), F.coalesce("label", F.lit(UNSEEN)))).drop("__v", "label")
+            label = F.concat(F.lit("="), F.coalesce("__label", F.lit(UNSEEN)))
+            out = out.withColumn(f"__l_{c}", label).drop("__v", "__label")
         values = imputed(self.numeric, self.fill)
         if self.scale:
             shift = self.mean if self.center else {}

@@ -68,14 +68,15 @@ def quantile_columns(
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles of ``value`` per group; null values are left out.
+    """Linearly interpolated quantiles of ``value`` per group, and the ``n`` values behind them.
 
-    Groups without any value come back with NULL quantiles.
+    Null values are left out, and so are groups that have nothing else.
     """
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     known = running_sums(counts.filter(F.col(value).isNotNull()), group, [value], ["n"])
     aggs, finals = quantile_columns(value, probs)
-    return known.groupBy(*group).agg(*aggs).select(*group, *[e.alias(n) for n, e in finals.items()])
+    folded = known.groupBy(*group).agg(*aggs, F.max("total_n").alias("n"))
+    return folded.select(*group, *[e.alias(n) for n, e in finals.items()], "n")
 
 
 def cut_keys(

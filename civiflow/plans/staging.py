@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
+# Usual size of a parquet row group, which one task reads.
+FULL_SPLIT = 128 * 1024 * 1024
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by the cluster."""
@@ -47,10 +50,15 @@ def stage(df: DataFrame, label: str = "table", partition_by: list[str] | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's size of a plan, exact for a staged table."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row-wise work on an input of few splits.
+    """Use all cores for costly row-wise work on an input of few row groups.
 
-    Inputs with enough splits, as any large table has, are left as they are.
+    Larger inputs, with at least one full split per core, are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if planned_bytes(df) >= cores * FULL_SPLIT else df.repartition(cores)

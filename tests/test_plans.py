@@ -61,9 +61,14 @@ def test_lookup_matches_null_keys(spark):
     assert sorted(r["v"] for r in lookup(left, right, ["k"]).collect()) == [1, 2]
 
 
-def test_weighted_lookup_equals_plain_join(spark):
-    left = spark.createDataFrame([("hot",)] * 500 + [(f"k{i}",) for i in range(200)] + [(None,)] * 3, "k string")
-    right = stage(left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.length(F.max("k")).alias("v")))
-    split = weighted_lookup(left, right, ["k"], "n", hot_keys=10, min_rows=1)
-    plain = lookup(left, right.drop("n"), ["k"])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_weighted_lookup_equals_plain_join(spark, how):
+    rows = [("hot", 1)] * 500 + [(f"k{i}", i) for i in range(200)] + [(None, 7)] * 300 + [("absent", 0)] * 2
+    left = spark.createDataFrame(rows, "k string, i int")
+    known = left.filter("k IS NULL OR k <> 'absent'")
+    right = stage(known.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("v"), F.lit(None).cast("int").alias("w")))
+    split = weighted_lookup(left, right, ["k"], "n", how, hot_keys=10, min_rows=1, may_broadcast=False)
+    assert "__lane" in split._jdf.queryExecution().optimizedPlan().toString()
+    plain = lookup(left, right.drop("n"), ["k"], how)
+    assert split.columns == plain.columns
     assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
