@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civiflow.operators.features import CATEGORICAL, IDENTITY, TARGETS
@@ -19,6 +20,8 @@ UNSEEN = "__unseen__"
 MISSING = "missing"
 NOT_FEATURES = {*IDENTITY, *TARGETS, "split", "y_true", "weight"}
 
+NUMBERS = ("scale", "center", "min_frequency", "categorical", "numeric", "fill", "mean", "std")
+
 # Columns the first-pass pipeline never learns from.
 LEAKAGE = {"delayed_resolution", "opened_at", "closed_at", "resolution_days", "source_file"}
 
@@ -165,3 +168,16 @@ class Preprocessor:
     def transform(self, df: DataFrame) -> DataFrame:
         wide = self.encoder.transform(self._columns(df))
         return wide.drop(*[c for c in wide.columns if c.startswith("__")])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Store encoder, levels and the per-column numbers below ``path``."""
+        numbers = {k: getattr(self, k) for k in NUMBERS}
+        spark.createDataFrame([(json.dumps(numbers),)], "numbers string").coalesce(1).write.parquet(f"{path}/numbers")
+        self.levels.write.parquet(f"{path}/levels")
+        self.encoder.write().save(f"{path}/encoder")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Preprocessor:
+        numbers = json.loads(spark.read.parquet(f"{path}/numbers").first()["numbers"])
+        levels = spark.read.parquet(f"{path}/levels")
+        return cls(**numbers, levels=levels, encoder=PipelineModel.load(f"{path}/encoder"))

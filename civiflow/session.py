@@ -15,16 +15,29 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+PARTITION_BYTES = 128 * 1024 * 1024
+MIN_PARTITIONS = 200
+
 
 def build_session(
     app_name: str = "civiflow",
     master: str | None = None,
     extra: dict[str, str] | None = None,
+    shuffle_bytes: int | None = None,
 ) -> SparkSession:
-    """Create (or get) a session; ``master`` stays unset on a cluster."""
+    """Create (or get) a session; ``master`` stays unset on a cluster.
+
+    ``shuffle_bytes`` is the size of the largest shuffle expected. It sets the
+    number of shuffle partitions, and with it the slices of range-partitioned
+    tables, so that none exceeds what a task holds comfortably; AQE merges them
+    where less arrives.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **(extra or {})}.items():
+    sized = {}
+    if shuffle_bytes is not None:
+        sized["spark.sql.shuffle.partitions"] = str(max(MIN_PARTITIONS, -(-shuffle_bytes // PARTITION_BYTES)))
+    for key, value in {**SETTINGS, **sized, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civiflow.functions import columns as C
-from civiflow.functions.names import find_col, snake_case, snake_case_columns, table_columns
+from civiflow.functions.names import city_label, find_col, snake_case, snake_case_columns, table_columns
 from civiflow.operators import clean, harmonize, label, starter
 
 D = dt.datetime
@@ -122,6 +122,7 @@ def test_calendar_and_grid(spark):
 
 
 def test_names(spark):
+    assert [city_label(c) for c in ("test_los_angeles", "nyc", "test_la")] == ["Los Angeles", "NYC", "LA"]
     assert snake_case(" Created  Date (UTC)!") == "created_date_utc"
     df = spark.createDataFrame([(1, 2)], "`Macro F1` int, `AU-ROC` int")
     assert table_columns(df).columns == ["macro_f1", "au_roc"]

@@ -111,8 +111,6 @@ def test_model_names():
 
 
 def test_models_fit_save_and_score(spark, tmp_path):
-    from pyspark.ml.classification import LogisticRegressionModel
-
     df = spark.range(300).select(
         F.col("id").cast("string").alias("request_id"),
         F.lit("x").alias("city"),
@@ -125,6 +123,7 @@ def test_models_fit_save_and_score(spark, tmp_path):
         fitted, result = models.fit_and_evaluate(name, df, df, "centralized", "all", **params)
         row = result.first()
         assert row["test_rows"] == 300 and row["train_rows"] == 300 and row["auroc"] > 0.9, name
-        if name == "lr":
-            fitted.model.write().overwrite().save(str(tmp_path / "lr"))
-            assert LogisticRegressionModel.load(str(tmp_path / "lr")).numFeatures == fitted.model.numFeatures
+        fitted.save(spark, str(tmp_path / name))
+        again = models.FittedModel.load(spark, str(tmp_path / name))
+        one, two = (m.score(df, ["request_id"]).orderBy("request_id").collect() for m in (fitted, again))
+        assert one == two
