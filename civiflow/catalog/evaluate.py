@@ -242,7 +242,7 @@ drift AS (
 
 
 _WEIGHT_LIST = "[" + ", ".join(f"CAST({w!r} AS DOUBLE)" for w in WEIGHTS) + "]"
-_VECTORS = f"""vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, {_WEIGHT_LIST} AS w FROM embeddings),
+_VECTORS = f"""vectors AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS x, {_WEIGHT_LIST} AS w FROM embeddings),
 scores AS (
   SELECT *, 1 / (1 + exp(-(list_sum([x[i] * w[i] FOR i IN range(1, {WIDTH + 1})]) + CAST({BIAS} AS DOUBLE)))) AS s FROM vectors)"""
 

@@ -257,7 +257,7 @@ run_summaries AS (
   SELECT m.model, m.privacy_level, m.eps AS target_epsilon,
          COALESCE(CAST(1 AS DOUBLE) / m.eps, CAST(0 AS DOUBLE)) AS noise_multiplier,
          training_time_sec, memory_peak_mb, rounds_completed, best_round,
-         80000 AS model_size_bytes, 240000 * rounds_completed AS upload_bytes,
+         CAST(80000 AS BIGINT) AS model_size_bytes, 240000 * rounds_completed AS upload_bytes,
          240000 * rounds_completed AS download_bytes,
          CASE WHEN m.privacy_level = 'Secure aggregation' THEN 240000 * rounds_completed ELSE 0 END
            AS secure_aggregation_extra_bytes,

@@ -232,9 +232,9 @@ crossed AS (
 transfer AS (SELECT *, city AS test_city FROM full_metrics WHERE NOT (train_city = 'BUILDING' AND city = 'ASIA'))"""
 
 _ORDER_SQL = (
-    "CASE model "
+    "CAST(CASE model "
     + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(reports.MODEL_ORDER))
-    + " ELSE 999 END AS position"
+    + " ELSE 999 END AS BIGINT) AS position"
 )
 
 _HISTORY = f"""WITH RECURSIVE models AS (SELECT {" UNION ALL SELECT ".join(f"{i} AS i, '{m[0]}' AS model" for i, m in enumerate(MODELS))}),
@@ -245,7 +245,7 @@ rounds AS (
   FROM client_rounds GROUP BY run, round)"""
 
 _PARAMS = """WITH cells AS (
-  SELECT label AS client, unnest(range(len(embedding))) AS idx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+  SELECT CAST(label AS BIGINT) AS client, unnest(range(len(embedding))) AS idx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
 params AS (SELECT client, idx, round(avg(v), 9) AS value, count(*) AS n FROM cells GROUP BY 1, 2),
 shared AS (SELECT idx, sum(value * n) / sum(n) AS base FROM params GROUP BY idx)"""
 

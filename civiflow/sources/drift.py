@@ -17,7 +17,7 @@ def _text_schema(names: list[str]) -> T.StructType:
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of the first header line."""
-    return spark.read.option("header", True).csv(path).columns
+    return [c.lstrip("\ufeff") for c in spark.read.option("header", True).csv(path).columns]
 
 
 def read_drifting_csv(
@@ -26,12 +26,15 @@ def read_drifting_csv(
     columns: list[str],
     added: str = ADDED_COLUMN,
     after: str = AFTER_COLUMN,
+    line_breaks_in_fields: bool = True,
 ) -> DataFrame:
     """Align rows with and without the ``added`` column by name.
 
     The header lists the older columns. Rows are parsed with the wider schema;
     those that do not fit are kept whole in the corrupt-record column and parsed
     again with the narrower one. A row fitting neither makes the query fail.
+    Columns found in neither header are NULL. Files without quoted line breaks
+    can be split among tasks.
     """
     narrow = read_header(spark, path)
     if after not in narrow:
@@ -40,7 +43,9 @@ def read_drifting_csv(
     wide = [*narrow[:at], added, *narrow[at:]]
     bad, bad_again = "__bad", "__bad_again"
     schema = _text_schema(wide).add(bad, T.StringType())
-    options = {"header": "true", "multiLine": "true", "escape": '"', "enforceSchema": "true"}
+    lines = str(line_breaks_in_fields).lower()
+    # A pruned parser would not see how many fields a row has.
+    options = {"header": "true", "multiLine": lines, "escape": '"', "enforceSchema": "true", "columnPruning": "false"}
     rows = (
         spark.read.schema(schema)
         .options(**options, columnNameOfCorruptRecord=bad)
@@ -53,13 +58,17 @@ def read_drifting_csv(
     )
     parsed = rows.withColumn("__older", older)
     fits_neither = F.col(bad).isNotNull() & F.col(f"__older.{bad_again}").isNotNull()
+    # Spark refuses scans of the corrupt-record column alone, so name the row too.
+    first = F.coalesce(F.col(wide[0]), F.lit("?"))
     failure = F.raise_error(
-        F.concat(F.lit(f"row has neither {len(narrow)} nor {len(wide)} fields: "), F.col(bad))
+        F.concat(F.lit(f"row has neither {len(narrow)} nor {len(wide)} fields: "), first, F.lit(" in "), F.col(bad))
     )
     chosen = []
     for c in columns:
-        old = F.col(f"__older.`{c}`") if c in narrow else F.lit(None).cast("string")
+        absent = F.lit(None).cast("string")
+        old = F.col(f"__older.`{c}`") if c in narrow else absent
+        new = F.col(c) if c in wide else absent
         chosen.append(
-            F.when(fits_neither, failure.cast("string")).when(F.col(bad).isNull(), F.col(c)).otherwise(old).alias(c)
+            F.when(fits_neither, failure.cast("string")).when(F.col(bad).isNull(), new).otherwise(old).alias(c)
         )
     return parsed.select(*chosen)

@@ -83,12 +83,17 @@ def load_raw_city(spark: SparkSession, raw_root: str, city: str, paths: list[str
     return load_files(spark, list_files(spark, f"{raw_root}/{key}") if paths is None else paths)
 
 
-def read_text_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_text_columns(
+    spark: SparkSession, path: str, columns: list[str], line_breaks_in_fields: bool = True
+) -> DataFrame:
     """CSV scan of the named columns, all as text; the parser skips the others.
 
     A folder of pages is read as one table, each page with its own header line.
+    Quoted line breaks keep Spark from splitting a file; where there are none,
+    say so and large files are read by many tasks.
     """
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).select(*columns)
+    options = {"header": "true", "escape": '"', "multiLine": str(line_breaks_in_fields).lower()}
+    return spark.read.options(**options).csv(path).select(*columns)
 
 
 def read_csv_if_exists(spark: SparkSession, path: str) -> DataFrame | None:

@@ -48,7 +48,7 @@ def test_text_columns_of_quoted_pages(spark, tmp_path):
 
 
 def test_drifting_rows(spark, tmp_path):
-    path = write(tmp_path / "la.csv", f'{HEAD}\n1,app,ann\n2,app,org,bob\n\n3,call,org,\n4,"multi\nline","q ""x"""\n5,web,"o,p",eve\n6,web,\n')
+    path = write(tmp_path / "la.csv", f'\ufeff{HEAD}\n1,app,ann\n2,app,org,bob\n\n3,call,org,\n4,"multi\nline","q ""x"""\n5,web,"o,p",eve\n6,web,\n')
     got = drift.read_drifting_csv(spark, path, ["srnumber", "requestsource", "createdbyuserorganization", "owner"])
     assert sorted(tuple(r) for r in got.collect()) == [
         ("1", "app", None, "ann"),
@@ -58,10 +58,17 @@ def test_drifting_rows(spark, tmp_path):
         ("5", "web", "o,p", "eve"),
         ("6", "web", None, None),
     ]
+    assert drift.read_drifting_csv(spark, path, ["srnumber", "elsewhere"]).filter("elsewhere IS NULL").count() == 6
     # Pruned scans find the widths as well.
     assert sorted(r[0] for r in drift.read_drifting_csv(spark, path, ["owner"]).collect() if r[0]) == ["ann", "bob", "eve", 'q "x"']
 
 
+def test_drift_in_splittable_files(spark, tmp_path):
+    path = write(tmp_path / "la.csv", f"{HEAD}\n1,app,ann\n2,app,org,bob\n3,call,org,\n")
+    got = drift.read_drifting_csv(spark, path, ["srnumber", "owner"], line_breaks_in_fields=False)
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "ann"), ("2", "bob"), ("3", None)]
+
+
 @pytest.mark.parametrize("line", ["1,2", "1,2,3,4,5"])
 def test_other_widths_fail(spark, tmp_path, line):
     path = write(tmp_path / "bad.csv", f"{HEAD}\n1,app,ann\n{line}\n")
