@@ -103,6 +103,15 @@ def test_count_checks(spark):
         quota.require_count(spark.range(3), 4)
 
 
+def test_parquet_by_city(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1), ("y", 2)], "city string, n int")
+    for _ in range(2):
+        sinks.write_parquet(df, str(tmp_path / "t"), ["city"])
+    plan = spark.read.parquet(str(tmp_path / "t")).filter("city = 'y'")
+    assert [r["n"] for r in plan.collect()] == [2]
+    assert "PartitionFilters: [isnotnull(city" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rounding_and_manifest(spark, tmp_path):
     df = spark.createDataFrame([("b", 0.00005, 1), ("a", float("nan"), 2)], "k string, x double, n int")
     assert {r["k"]: r["x"] for r in sinks.rounded(df).filter("k = 'b'").collect()} == {"b": 0.0}
