@@ -32,9 +32,9 @@ def importance(spark, sf_dir):
     return table_.withColumn("importance", F.round("importance", 6))
 
 
-def attacks(spark, sf_dir, limit=400):
+def attacks(spark, sf_dir, limit=400, rows=None):
     """Members are the earliest even orders per model and city, the odd ones are not."""
-    p = predictions(spark, sf_dir).withColumnRenamed("row_id", "request_id")
+    p = (rows or predictions(spark, sf_dir)).withColumnRenamed("row_id", "request_id")
     sample = attack.attack_sample(p.filter("is_member = 1"), p.filter("is_member = 0"), limit)
     return attack.with_risk_reduction(attack.membership_attack(sample))
 

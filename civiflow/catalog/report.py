@@ -29,17 +29,21 @@ from civiflow.sources import sinks
 CITIES = [*CLIENTS, EXTERNAL]
 
 
-def model_metrics(spark, sf_dir):
-    return metrics.binary_metrics(predictions(spark, sf_dir), ["model", "city"])
+def scored(spark, sf_dir):
+    """The predictions, written once for the reports that read them several times."""
+    return stage(predictions(spark, sf_dir), "predictions")
 
 
-def macro_table(spark, sf_dir):
-    return reports.comparison_table(model_metrics(spark, sf_dir), CLIENTS, EXTERNAL, run_summaries(spark, sf_dir))
+def model_metrics(spark, sf_dir, rows=None):
+    return metrics.binary_metrics(rows or predictions(spark, sf_dir), ["model", "city"])
 
 
-def mean_calibration(spark, sf_dir):
-    by_city = metrics.calibration_by(predictions(spark, sf_dir), ["model", "city"])
-    return metrics.mean_calibration(by_city, ["model"])
+def macro_table(spark, sf_dir, rows=None):
+    return reports.comparison_table(model_metrics(spark, sf_dir, rows), CLIENTS, EXTERNAL, run_summaries(spark, sf_dir))
+
+
+def mean_calibration(rows):
+    return metrics.mean_calibration(metrics.calibration_by(rows, ["model", "city"]), ["model"])
 
 
 def drift(spark, sf_dir):
@@ -47,24 +51,26 @@ def drift(spark, sf_dir):
 
 
 def tradeoff(spark, sf_dir):
+    rows = scored(spark, sf_dir)
     return reports.privacy_tradeoff(
-        macro_table(spark, sf_dir),
+        macro_table(spark, sf_dir, rows),
         run_summaries(spark, sf_dir),
-        mean_calibration(spark, sf_dir),
-        fairness.fairness_summary(predictions(spark, sf_dir), ["city"]),
+        mean_calibration(rows),
+        fairness.fairness_summary(rows, ["city"]),
         drift(spark, sf_dir),
         EXTERNAL,
     )
 
 
-def trust_scores(spark, sf_dir):
+def trust_scores(spark, sf_dir, rows=None, macro=None):
+    rows = rows or scored(spark, sf_dir)
     return reports.scorecard(
-        macro_table(spark, sf_dir),
+        macro or macro_table(spark, sf_dir, rows),
         run_summaries(spark, sf_dir),
-        mean_calibration(spark, sf_dir),
-        fairness.fairness_summary(predictions(spark, sf_dir), ["city"]),
+        mean_calibration(rows),
+        fairness.fairness_summary(rows, ["city"]),
         drift(spark, sf_dir),
-        attacks(spark, sf_dir),
+        attacks(spark, sf_dir, rows=rows),
     )
 
 
@@ -102,11 +108,14 @@ def named_models(spark, sf_dir):
 
 
 def main_table(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    by_city = stage(model_metrics(spark, sf_dir, rows), "metrics")
+    macro = reports.comparison_table(by_city, CLIENTS, EXTERNAL, run_summaries(spark, sf_dir))
     return finish(
         reports.main_comparison(
-            model_metrics(spark, sf_dir).filter(F.col("city") == "ASIA"),
-            macro_table(spark, sf_dir).withColumnRenamed("europe_macro_f1", "external_macro_f1"),
-            trust_scores(spark, sf_dir),
+            by_city.filter(F.col("city") == "ASIA"),
+            macro.withColumnRenamed("europe_macro_f1", "external_macro_f1"),
+            trust_scores(spark, sf_dir, rows, macro),
         )
     )
 

@@ -43,7 +43,8 @@ def to_timestamp_or_null(c: Column, formats: list[str] | None = None) -> Column:
 
 
 def to_double_or_null(c: Column) -> Column:
-    return c.try_cast("double")
+    """Number; text that is none, and NaN, give NULL."""
+    return F.nullif(c.try_cast("double"), F.lit(float("nan")))
 
 
 def epoch_micros(c: Column) -> Column:

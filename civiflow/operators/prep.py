@@ -10,6 +10,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from civiflow.functions.columns import to_double_or_null
 from civiflow.operators.features import CATEGORICAL, IDENTITY, TARGETS
 from civiflow.plans.joins import weighted_lookup
 from civiflow.plans.ordered import exact_quantiles
@@ -50,11 +51,13 @@ def unpivot(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    return exact_quantiles(unpivot(df, columns, "double"), ["feature"], "value", {"median": 0.5}).drop("n")
+    """Exact median per column; columns without any value are left out."""
+    cells = unpivot(df, columns, "double").withColumn("value", to_double_or_null(F.col("value")))
+    return exact_quantiles(cells, ["feature"], "value", {"median": 0.5}).drop("n")
 
 
 def imputed(columns: list[str], fill: dict[str, float]) -> dict[str, Column]:
-    return {c: F.coalesce(F.col(c).try_cast("double"), F.lit(fill.get(c, 0.0))) for c in columns}
+    return {c: F.coalesce(to_double_or_null(F.col(c)), F.lit(fill.get(c, 0.0))) for c in columns}
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -54,9 +54,8 @@ def list_files(spark: SparkSession, folder: str) -> list[str]:
 def load_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All files in one table with the name of the file each row came from.
 
-    Self-describing files of one suffix share a scan. CSV files are scanned
-    one by one, as their headers may differ; columns missing in some files are
-    NULL there.
+    Self-describing files of one suffix share a scan, and so do CSV files with
+    the same header; columns missing in some files are NULL there.
     """
     if not paths:
         raise FileNotFoundError("no raw files found")
@@ -64,7 +63,10 @@ def load_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     for suffix in SUFFIXES:
         group = [p for p in paths if suffix_of(p) == suffix]
         if suffix == ".csv":
-            parts += [_with_source(read_table(spark, p)) for p in group]
+            by_header: dict[tuple[str, ...], list[str]] = {}
+            for p in group:
+                by_header.setdefault(tuple(read_table(spark, p).columns), []).append(p)
+            parts += [_with_source(spark.read.option("header", True).csv(ps)) for ps in by_header.values()]
         elif group:
             reader = spark.read.option("mergeSchema", True).option("multiLine", suffix == ".json")
             parts.append(_with_source(reader.parquet(*group) if suffix == ".parquet" else reader.json(group)))

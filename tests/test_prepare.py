@@ -43,6 +43,11 @@ def test_harmonize_coerces_and_fills(spark):
     assert list(row.asDict()) == harmonize.TARGET_SCHEMA
 
 
+def test_numbers(spark):
+    df = spark.createDataFrame([("1.5",), (" 2 ",), ("x",), ("NaN",), (None,)], "v string")
+    assert [r[0] for r in df.select(C.to_double_or_null(F.col("v"))).collect()] == [1.5, 2.0, None, None, None]
+
+
 def test_mapping_columns_cover_sources():
     names = harmonize.CITY_MAPPINGS["boston"].columns()
     assert "subject" in names and "ward" in names and len(names) == len(set(names))

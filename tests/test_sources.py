@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def test_readers_by_suffix(spark, tmp_path):
         write(tmp_path / "b.json", json.dumps([{"x": "3", "z": "w"}, {"x": "4", "z": "q"}], indent=1)),
         write(tmp_path / "c.jsonl", '{"x": "5"}\n{"x": "6"}\n'),
     ]
+    extra = [write(tmp_path / "a2.csv", "y,x\nw,8\n"), write(tmp_path / "a3.csv", "x,y\n9,u\n")]
+    more = readers.load_files(spark, [files[0], *extra]).select("x", "y", "source_file").collect()
+    assert sorted(map(tuple, more)) == [("1", "u", "a.csv"), ("2", "v", "a.csv"), ("8", "w", "a2.csv"), ("9", "u", "a3.csv")]
+    for path in extra:
+        os.remove(path)
     write(tmp_path / "notes.txt", "no data")
     (tmp_path / "sub").mkdir()
     write(tmp_path / "sub" / "d.csv", "x\n7\n")
