@@ -160,6 +160,7 @@ split AS (
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of seven models for every order; 101 distinct scores, so ties abound."""
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    o = spread(o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
     closed = F.col("o_orderstatus") == "F"
     multipliers = F.array(
         *[F.struct(F.lit(name).alias("model"), F.lit(a).alias("a")) for name, a, _, _ in MODELS]
