@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civiflow.plans.staging import spread
 
 CLIENTS = ["AFRICA", "AMERICA", "ASIA"]
 EXTERNAL = "EUROPE"
@@ -47,7 +46,7 @@ def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o, c, n, r, p, s = (
         table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
     )
-    li = spread(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     joined = (
         li.join(o, li.l_orderkey == o.o_orderkey)
         .join(c, o.o_custkey == c.c_custkey)
@@ -160,7 +159,7 @@ split AS (
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of seven models for every order; 101 distinct scores, so ties abound."""
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    o = spread(o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
+    o = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     closed = F.col("o_orderstatus") == "F"
     multipliers = F.array(
         *[F.struct(F.lit(name).alias("model"), F.lit(a).alias("a")) for name, a, _, _ in MODELS]

@@ -13,7 +13,7 @@ from civiflow.functions.columns import (
     to_timestamp_or_null,
 )
 from civiflow.operators.harmonize import DATE_COLUMNS, NUMBER_COLUMNS, TARGET_SCHEMA
-from civiflow.plans.joins import lookup, weighted_lookup
+from civiflow.plans.joins import lookup
 from civiflow.plans.staging import stage
 
 DATE_RULES = ["missing_created_date", "missing_closed_date", "closed_before_created"]
@@ -82,7 +82,7 @@ def clean(df: DataFrame, min_category_samples: int = 100) -> DataFrame:
 
 def _cleaned(valid: DataFrame, min_category_samples: int) -> DataFrame:
     keep = stage(frequent_categories(valid, min_category_samples), "categories")
-    kept = weighted_lookup(valid, keep, ["city", "category"], "n", "inner")
+    kept = lookup(valid, keep.drop("n"), ["city", "category"], "inner")
     hours = hours_between(F.col("created_date"), F.col("closed_date"))
     return kept.select(*TARGET_SCHEMA, hours.alias("resolution_hours"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiflow.functions.columns import routing_target
-from civiflow.plans.joins import weighted_lookup
+from civiflow.plans.joins import lookup
 from civiflow.plans.ordered import exact_quantiles
 from civiflow.plans.staging import stage
 
@@ -29,7 +29,7 @@ def label(cleaned: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """
     if thresholds is None:
         thresholds = delay_thresholds(cleaned)
-    joined = weighted_lookup(cleaned, stage(thresholds, "thresholds"), GROUP, "n")
+    joined = lookup(cleaned, stage(thresholds, "thresholds").drop("n"), GROUP)
     late = F.coalesce(F.col("resolution_hours") > F.col("delay_threshold_hours"), F.lit(False))
     return with_routing_target(joined.withColumn("delayed", late.cast("int")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from civiflow.functions.columns import to_double_or_null
 from civiflow.operators.features import CATEGORICAL, IDENTITY, TARGETS
-from civiflow.plans.joins import weighted_lookup
+from civiflow.plans.joins import lookup
 from civiflow.plans.ordered import exact_quantiles
 from civiflow.plans.staging import stage
 
@@ -158,7 +158,7 @@ class Preprocessor:
                 F.col("value").alias("__v"), F.col("label").alias("__label"), "n"
             )
             keyed = out.withColumn("__v", F.coalesce(F.col(c), F.lit(MISSING)))
-            out = weighted_lookup(keyed, known, ["__v"], "n")
+            out = lookup(keyed, known.drop("n"), ["__v"])
             # The indexer refuses blank names, hence the prefix.
             label = F.concat(F.lit("="), F.coalesce("__label", F.lit(UNSEEN)))
             out = out.withColumn(f"__l_{c}", label).drop("__v", "__label")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiflow.functions.text import feature_names, let, tokens, with_bigrams
-from civiflow.plans.staging import spread
 
 
 def terms(text: str) -> Column:
@@ -33,8 +32,7 @@ def term_statistics(df: DataFrame, text: str) -> DataFrame:
         )
 
     return (
-        spread(df.select(text))
-        .select(F.inline(let(F.sort_array(terms(text)), marked)))
+        df.select(F.inline(let(F.sort_array(terms(text)), marked)))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("term_count"), F.sum("first").alias("document_frequency"))
     )
@@ -100,7 +98,7 @@ class TfidfModel:
 
     def with_vector(self, df: DataFrame, text: str, out: str) -> DataFrame:
         """Add the dense weights as an array; rows are not moved."""
-        return spread(df).withColumn(out, self._vector(text))
+        return df.withColumn(out, self._vector(text))
 
     def weight_rows(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """Long form (key, term, weight) of the non-zero weights."""
@@ -109,7 +107,7 @@ class TfidfModel:
             names, self._vector(text), lambda t, w: F.struct(t.alias("term"), w.alias("weight"))
         )
         found = F.filter(cells, lambda c: c["weight"] > 0)
-        return spread(df.select(key, text)).select(key, F.inline(found))
+        return df.select(key, F.inline(found))
 
     def with_columns(self, df: DataFrame, text: str) -> DataFrame:
         """Add one float column per term."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiflow.functions.columns import MICROS_PER_DAY, epoch_micros
-from civiflow.plans.joins import weighted_lookup
+from civiflow.plans.joins import lookup
 from civiflow.plans.staging import stage
 
 
@@ -66,6 +66,6 @@ def with_trailing_counts(
             *base, F.col("value").alias("__value"), ts, F.col("n").alias("__n"), F.col("trailing").cast("int").alias(name)
         )
         keyed = out.withColumn("__value", F.col(kind).cast("string"))
-        out = weighted_lookup(keyed, counts, [*base, "__value", ts], "__n").drop("__value")
+        out = lookup(keyed, counts.drop("__n"), [*base, "__value", ts]).drop("__value")
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
     return out

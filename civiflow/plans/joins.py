@@ -1,17 +1,16 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins by possibly missing keys.
+
+A left row set in which one key holds a large share of the rows is left to the
+skew handling of adaptive execution, which the session switches on.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiflow.plans.staging import planned_bytes
-
-HOT_KEYS = 1000
-MIN_HOT_ROWS = 1_000_000
-
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality on all ``keys``."""
@@ -29,49 +28,3 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst, which knows the size of staged tables, would broadcast ``df``."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    allowed = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
-    return planned_bytes(df) <= allowed
-
-
-def weighted_lookup(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    weight: str,
-    how: str = "left",
-    hot_keys: int = HOT_KEYS,
-    min_rows: int = MIN_HOT_ROWS,
-    may_broadcast: bool = True,
-) -> DataFrame:
-    """Join with a staged table whose ``weight`` says how many left rows each key has.
-
-    A table small enough is broadcast whole. Otherwise keys holding more than
-    1/hot_keys of the rows, fewer than ``hot_keys`` of them, are served by a
-    broadcast whatever the data size, and the others by a shuffle in which none
-    of them can overload a task. Rows already served get a running number as an
-    additional key there, which spreads them evenly and matches nothing.
-    Keys of no more than ``min_rows`` rows need no such care.
-    """
-    values = [c for c in right.columns if c not in (*keys, weight)]
-    plain = right.drop(weight)
-    if may_broadcast and fits_broadcast(right):
-        return lookup(left, plain, keys, how)
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    limit = max(total / hot_keys, min_rows)
-    if total <= limit:
-        return lookup(left, plain, keys, how)
-    found = F.struct(F.lit(True).alias("found"), *values)
-    hot = right.filter(F.col(weight) > limit).select(*keys, found.alias("__hot"))
-    cold = right.filter(F.col(weight) <= limit).select(*keys, F.lit(0).cast("bigint").alias("__lane"), found.alias("__cold"))
-    served = lookup(left, F.broadcast(hot), keys)
-    lane = F.when(F.col("__hot").isNotNull(), F.lit(1) + F.monotonically_increasing_id()).otherwise(F.lit(0))
-    joined = lookup(served.withColumn("__lane", lane), cold, [*keys, "__lane"])
-    both = joined.withColumn("__found", F.coalesce("__hot", "__cold"))
-    if how == "inner":
-        both = both.filter(F.col("__found").isNotNull())
-    return both.select(*left.columns, *[F.col(f"__found.`{v}`").alias(v) for v in values])

@@ -8,35 +8,53 @@ falls back to a shuffle join beyond that.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
-# Usual size of a parquet row group, which one task reads.
-FULL_SPLIT = 128 * 1024 * 1024
+# Lists of the scopes that are open; each staged path is noted in the innermost.
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, as named by the cluster."""
+    """Folder that every executor can reach: ``spark.checkpoint.dir``, else the warehouse.
+
+    A warehouse on a machine's own disk serves a local master only.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app_id = spark.sparkContext.applicationId
-    if app_id not in _local_dirs:
-        _local_dirs[app_id] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _local_dirs[app_id]
+    return warehouse.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/civiflow/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/civiflow/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside when the block ends.
+
+    Results that read them must have been written or collected by then.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stage(df: DataFrame, label: str = "table", partition_by: list[str] | None = None) -> DataFrame:
@@ -48,17 +66,3 @@ def stage(df: DataFrame, label: str = "table", partition_by: list[str] | None =
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size of a plan, exact for a staged table."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row-wise work on an input of few row groups.
-
-    Larger inputs, with at least one full split per core, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if planned_bytes(df) >= cores * FULL_SPLIT else df.repartition(cores)
