@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from civiflow.llm.exact_dedup import keep_rows, normalised
 from civiflow.plans.staging import stage
@@ -96,7 +97,7 @@ def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def shingle_set(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(words_of(t)).view(np.int64) for t in texts])
 
