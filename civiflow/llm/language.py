@@ -11,7 +11,6 @@ an empty table gives an empty result. Ties go to the first language by name.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,8 +143,6 @@ def train(docs: DataFrame, rows_per_language: int = 500, windows_per_row: int =
 
 def identify(docs: DataFrame, net: ByteNet | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its probability, from the text alone."""
-    model = pickle.dumps(net)
-
     def predict(own: ByteNet | None, texts: pd.Series) -> pd.DataFrame:
         names, best = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
         use = np.flatnonzero(texts.notna().to_numpy()) if own else np.zeros(0, int)
@@ -168,9 +165,8 @@ def identify(docs: DataFrame, net: ByteNet | None, lang: str = "lang_pred", scor
 
     @F.pandas_udf("lang string, score double")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = pickle.loads(model)
         for texts in batches:
-            yield predict(own, texts)
+            yield predict(net, texts)
 
     lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
     # Marked so that the optimiser does not evaluate it once for each use.

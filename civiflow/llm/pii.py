@@ -26,7 +26,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 # Private-use characters stand for a separator between two digits and for a dot
 # between two label characters, so that runs become plain character classes.
-SEP, DOT = "", ""
+SEP, DOT = "\ue000", "\ue001"
 
 # Fixed values of the gazetteers and cues.
 DOMAINS = r"\.(com|org|net|edu|gov|io|de|fr|es|uk|it|eu|info|example)$"
@@ -47,19 +47,19 @@ LOOSE_EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[](?:at|AT)[)\]] ?[A-Za-
 LOOSE_PHONE = r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 
 
-def found(text: str, pattern: str) -> Column:
+def found(name: str) -> Column:
     """Matches with 0-based start and end in code points and the text before each.
 
-    Gaps of a split and the matches alternate, so positions are running sums.
+    ``m_name`` holds the matches and ``g_name`` the gaps of a split; they
+    alternate, so positions are running sums.
     """
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
     return F.expr(
         f"""aggregate(
-            arrays_zip(regexp_extract_all({text}, '{quoted}', 0) as m, slice(split({text}, '{quoted}'), 1, size(regexp_extract_all({text}, '{quoted}', 0))) as g),
+            arrays_zip(m_{name}, slice(g_{name}, 1, size(m_{name}))),
             named_struct('at', 0L, 'out', cast(array() as array<struct<start: bigint, stop: bigint, value: string, before: string>>)),
             (s, x) -> named_struct(
-                'at', s.at + length(x.g) + length(x.m),
-                'out', concat(s.out, array(named_struct('start', s.at + length(x.g), 'stop', s.at + length(x.g) + length(x.m), 'value', x.m, 'before', right(x.g, 24))))),
+                'at', s.at + length(x.`1`) + length(x.m_{name}),
+                'out', concat(s.out, array(named_struct('start', s.at + length(x.`1`), 'stop', s.at + length(x.`1`) + length(x.m_{name}), 'value', x.m_{name}, 'before', right(x.`1`, 24))))),
             s -> s.out)"""
     )
 
@@ -99,10 +99,13 @@ def candidates(docs: DataFrame) -> DataFrame:
             "tn": F.when(has("[0-9]{3}[ .-][0-9]{4}"), F.col("t")).otherwise(""),
         }
     ).drop("t")
-    spans = marked.select(
+    patterns = (("email", "te", EMAIL), ("ip", "ti", IP), ("card", "tc", CARD), ("phone", "tp", PHONE), ("mail2", "tl", LOOSE_EMAIL), ("phone2", "tn", LOOSE_PHONE))
+    cut = marked.select(
         "doc_id",
-        *[found(t, p).alias(name) for name, t, p in (("email", "te", EMAIL), ("ip", "ti", IP), ("card", "tc", CARD), ("phone", "tp", PHONE), ("mail2", "tl", LOOSE_EMAIL), ("phone2", "tn", LOOSE_PHONE))],
+        *[F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias(f"m_{n}") for n, t, p in patterns],
+        *[F.split(t, p).alias(f"g_{n}") for n, t, p in patterns],
     )
+    spans = cut.select("doc_id", *[found(n).alias(n) for n, _, _ in patterns])
     octet = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
     valid = {
