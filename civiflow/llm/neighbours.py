@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from civiflow.plans.staging import stage
 
-PROJECTIONS = 32
-SHARE = 0.12
+PROJECTIONS = 48
+SHARE = 0.35
 BLOCK = 4096
-STEPS = (0.08, 0.14, 0.22, 0.34, 0.5, 0.75, 1.01)
+# Half widths of the windows in standard deviations of a projection, and the
+# share of windows in which a vector must be found at each.
+STEPS = ((0.5, 0.5), (0.8, 0.55), (1.2, 0.6), (1.8, 0.7), (np.inf, 0.0))
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -47,33 +49,40 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, quer
     """For each query the best k verified vectors of one block."""
     lines = np.random.default_rng(7).normal(size=(vectors.shape[1] + 1, PROJECTIONS))
     rest = np.sqrt(np.maximum(largest - (vectors**2).sum(1), 0))
-    index = np.hstack([vectors, rest[:, None]]) @ lines
-    norms = np.sqrt((queries**2).sum(1))
-    own = (queries * (np.sqrt(largest) / norms)[:, None]) @ lines[:-1]
-    order = np.argsort(index, 0, kind="stable")
-    arrays = np.take_along_axis(index, order, 0)
-    spread = index.std(0) + 1e-12
-    wanted = min(len(ids), max(8 * k, int(share * len(ids))))
-    lines_at = np.arange(PROJECTIONS)
+    index = (np.hstack([vectors, rest[:, None]]) @ lines).T
+    own = ((queries * (np.sqrt(largest) / np.sqrt((queries**2).sum(1)))[:, None]) @ lines[:-1]).T
+    order = np.argsort(index, 1, kind="stable")
+    arrays = np.take_along_axis(index, order, 1)
+    # Where each vector stands in each sorted array.
+    places = np.empty(order.shape, np.uint16 if len(ids) < 2**16 else np.uint32)
+    np.put_along_axis(places, order, np.arange(len(ids), dtype=places.dtype)[None], 1)
+    spread = index.std(1, keepdims=True) + 1e-12
+    small = vectors.astype(np.float32)
+    wanted = min(len(ids), max(20 * k, int(share * len(ids))))
+    bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def window(step: int) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of places of every query's window in every array."""
+        if step not in bounds:
+            width = spread * STEPS[step][0]
+            low = np.stack([np.searchsorted(a, x) for a, x in zip(arrays, own - width)])
+            high = np.stack([np.searchsorted(a, x, "right") for a, x in zip(arrays, own + width)])
+            bounds[step] = low.astype(places.dtype), (high - low).astype(places.dtype)
+        return bounds[step]
+
     for q in range(len(queries)):
-        low = high = None
-        for step in STEPS:
-            # Widths in units of spread; the last step covers whatever is there.
-            width = spread * step * 2 if step < 1 else np.full(PROJECTIONS, np.inf)
-            low = [np.searchsorted(arrays[:, j], own[q, j] - width[j]) for j in lines_at]
-            high = [np.searchsorted(arrays[:, j], own[q, j] + width[j], "right") for j in lines_at]
-            counts = np.bincount(np.concatenate([order[a:b, j] for j, a, b in zip(lines_at, low, high)]), minlength=len(ids))
-            # More collisions are asked for as windows widen.
-            threshold = np.inf if step < 0.08 else int(np.ceil(PROJECTIONS * min(0.95, step * 0.9 + 0.12))) if step < 1 else 0
-            if (counts >= threshold).sum() >= wanted:
+        for step, (_, part) in enumerate(STEPS):
+            low, number = window(step)
+            counts = ((places - low[:, q, None]) < number[:, q, None]).sum(0, dtype=np.uint8)
+            picked = np.flatnonzero(counts >= part * PROJECTIONS)
+            if len(picked) >= wanted:
                 break
-        picked = np.flatnonzero(counts >= threshold)
-        if len(picked) > 2 * wanted:
-            # Still more collide: ask for the highest threshold that leaves enough.
-            level = np.sort(counts[picked])[-wanted]
-            picked = picked[counts[picked] >= level]
         picked = picked[ids[picked] != query_ids[q]]
-        # Component by component, as a loop would add them.
+        # Rough scores of the candidates, then exact ones of all that can be among the k best.
+        rough = small[picked] @ queries[q].astype(np.float32)
+        if len(picked) > k:
+            error = 1e-5 * np.sqrt(largest) * np.sqrt((queries[q] ** 2).sum())
+            picked = picked[rough >= np.partition(rough, -k)[-k] - error]
         score = (vectors[picked] * queries[q]).cumsum(1)[:, -1]
         best = np.lexsort((ids[picked], -score))[:k]
         yield np.full(len(best), query_ids[q]), ids[picked][best], score[best]
