@@ -27,7 +27,10 @@ COUNTERS = 1023
 
 def normalised(text: str):
     """Column of the text without ASCII white space."""
-    return F.translate(F.coalesce(F.col(text), F.lit("")), WHITE, "")
+    c = F.coalesce(F.col(text), F.lit(""))
+    for white in WHITE:
+        c = F.replace(c, F.lit(white), F.lit(""))
+    return c
 
 
 def misra_gries(counts: dict[str, int], items: Iterator[str], size: int) -> dict[str, int]:

@@ -12,8 +12,9 @@ documents; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,11 +31,49 @@ MERGE = 64
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
 
 
-def encode(tokenizer: Tokenizer, texts: list[str], end: int, block: int = 64) -> Iterator[np.ndarray]:
-    """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-    for i in range(0, len(texts), block):
-        for e in tokenizer.encode_batch_fast(texts[i : i + block], add_special_tokens=False):
-            yield np.array([*e.ids, end], dtype="<u4")
+# A space between two graphic characters; pre-tokenisers cut before it.
+EDGE = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+ODD = re.compile(r"[^!-~\w] | [^!-~\w]|^ | $")
+
+
+def spaced(text: str) -> list[str]:
+    """Chunks for byte-level vocabularies, whose tokens carry the space before a word."""
+    if ODD.search(text):
+        return EDGE.split(text)
+    first, *rest = text.split(" ")
+    return [first, *[" " + w for w in rest]]
+
+
+def bare(text: str) -> list[str]:
+    """Chunks for vocabularies that drop white space."""
+    return text.replace("\n", " ").split(" ")
+
+
+class Encoder:
+    """Encodes chunk by chunk; no token crosses the edge of a chunk, so ids are those of the whole text.
+
+    Ids of at most ``most`` chunks are kept; beyond that the store starts anew.
+    """
+
+    def __init__(self, path: str, chunks: Callable[[str], list[str]], end: int, most: int = 300_000):
+        self.tokenizer, self.chunks, self.end, self.most = load(path), chunks, end, most
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, texts: list[str], block: int = 64) -> Iterator[np.ndarray]:
+        """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
+        for i in range(0, len(texts), block):
+            parts = [self.chunks(t) for t in texts[i : i + block]]
+            if len(self.known) > self.most:
+                self.known = {}
+            new = list({c for p in parts for c in p if c not in self.known})
+            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                self.known[c] = e.ids
+            for p in parts:
+                ids: list[int] = []
+                for c in p:
+                    ids += self.known[c]
+                ids.append(self.end)
+                yield np.array(ids, dtype="<u4")
 
 
 def load(path: str) -> Tokenizer:
@@ -73,7 +112,7 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 1, length: int = L
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, windows, number = load(path), Windows(length, limit), 0
+        encode, windows, number = Encoder(path, bare, end), Windows(length, limit), 0
 
         def rows(window: list, still_open: bool) -> list[tuple]:
             nonlocal number
@@ -88,7 +127,7 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 1, length: int = L
             base = int(batch["part"].iloc[0]) << 40 if len(batch) else 0
             number = number or base
             out: list[tuple] = []
-            for doc, ids in zip(batch["doc_id"], encode(tokenizer, batch["text"].tolist(), end)):
+            for doc, ids in zip(batch["doc_id"], encode(batch["text"].tolist())):
                 for start in range(0, len(ids), length):
                     cut = ids[start : start + length]
                     piece = (doc, start, len(cut), zlib.crc32(cut.tobytes()), len(ids))

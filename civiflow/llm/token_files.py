@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from civiflow.llm.packing import encode, load
+from civiflow.llm.packing import Encoder, spaced
 from civiflow.plans.staging import new_path
 
 ROW_GROUP = 32 * 1024 * 1024
@@ -41,11 +41,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end: in
     )
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, at = load(tokenizer_path), 0
+        encode, at = Encoder(tokenizer_path, spaced, end), 0
         for batch in batches:
             for i in range(0, len(batch), 256):
                 rows = batch.iloc[i : i + 256]
-                ids = [x.view("<i4") for x in encode(tokenizer, rows["text"].tolist(), end)]
+                ids = [x.view("<i4") for x in encode(rows["text"].tolist())]
                 yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "part": rows["part"].to_numpy(), "position": range(at, at + len(rows)), "n_tokens": [len(x) for x in ids], "ids": ids})
                 at += len(rows)
 
