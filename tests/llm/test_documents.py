@@ -165,7 +165,7 @@ def test_language_of_odd_rows(docs):
 def test_personal_data(spark):
     texts = {
         1: "mail é a.b@c.de_x@y.org, 1.2.3.4.5.6.7.8 and 300.1.1.1",
-        2: "4111 1111-1111 1111 call +49 (30) 123-45678. " + "9" * 5000 + " " + "1 " * 5000,
+        2: "4111 1111-1111 1111 call +49 (30) 123-45678 now. " + "9" * 5000 + " " + "1 " * 5000,
         3: None,
         4: "x@y.. " + "a." * 4000 + "@b",
     }
