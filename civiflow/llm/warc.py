@@ -1,20 +1,23 @@
 """WARC archives with an index.
 
-One record per page. Archives are text files whose line separator is the end of
-a WARC record; pages are range-sorted, so offsets are running sums of lengths.
-The index (file shard, offset, length, url, digest) is written with them; reads
-take the selected records in offset order and join neighbouring byte ranges.
+One record per page, each a gzip member of its own, so that a byte range reads
+alone. Every task writes one archive under a name of its own and returns the
+index rows (path, offset, length, url, digest); the index names the archives of
+tasks that ended, so a repeated task leaves no wrong entry. Reads take the
+selected records in offset order and join neighbouring byte ranges.
 
 Null html is an empty payload, null url an empty field; line breaks in urls are
 escaped. Of equal payloads of at least 100 bytes the smallest page_id is the
-response and the rest are revisits without payload; null ids come last, and of
-rows repeated under one id the first written is the response. Empty tables give
-empty results; other columns are ignored.
+response and the rest are revisits without payload; null ids come last, ties go
+to the smaller url, and of fully repeated rows exactly one is the response.
+Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,61 +25,88 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from civiflow.plans.joins import lookup
 from civiflow.plans.staging import new_path, stage
 
 END = "\r\n\r\n"
 LEAST = 100
 GAP = 64 * 1024
 RUN = 16 * 1024 * 1024
+LEVEL = 4
+INDEX = "path string, offset long, length long, page_id long, url string, digest string"
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """page_id, url, digest, type, refers_to and the whole record as text."""
-    slices = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def decided(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, digest, kind and refers_to of every page; payloads are shuffled at most once."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A").alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
-        F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"),
-    )
-    rows = rows.repartitionByRange(slices, "page_id").sortWithinPartitions("page_id", "url").withColumn("shard", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    rows = stage(rows, "pages")
-    size = F.octet_length("html")
-    best = F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first")
+    ).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    key = ["page_id", "url", "digest"]
+    narrow = stage(rows.where(F.octet_length("html") >= LEAST).select(*key), "payloads")
     # Partial sums make a payload of a third of all rows one row per task.
-    firsts = rows.where(size >= LEAST).groupBy("digest").agg(best).select(F.col("digest").alias("d"), F.col("first.row").alias("first_row"), F.col("first.page_id").alias("first_id"))
-    joined = rows.join(firsts, F.col("digest") == F.col("d"), "left")
-    revisit = F.coalesce(F.col("first_row") != F.col("row"), F.lit(False))
-    joined = joined.withColumns({"kind": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first_id"))})
-    payload = F.when(revisit, "").otherwise(F.col("html"))
-    head = F.concat_ws(
-        "\r\n",
-        F.lit("WARC/1.0"),
-        F.concat(F.lit("WARC-Type: "), "kind"),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), "url"),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), "digest"),
-        F.concat(F.lit("WARC-Payload-Length: "), size.cast("string")),
-        F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">")),
-        F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string")),
-    )
-    return joined.select("shard", "row", "page_id", "url", "digest", F.concat(head, F.lit(END), payload).alias("value"))
+    best = F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first")
+    firsts = narrow.groupBy("digest").agg(best, F.count("*").alias("n")).where("n > 1")
+    again = narrow.join(firsts.select("digest", "first"), "digest")
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("url") == F.col("first.url"))
+    # One row per key that occurs with a response elsewhere or several times.
+    marks = again.groupBy(*key).agg(F.count("*").alias("times"), F.first(is_first).alias("is_first"), F.first("first.page_id").alias("first_id"))
+    marks = stage(marks.where("not is_first or times > 1"), "revisits")
+    joined = lookup(rows, marks, key)
+    # Fully repeated rows are told apart by a number; only they are sorted together.
+    single = joined.where("times is null or not is_first").withColumn("place", F.lit(1))
+    several = joined.where("times is not null and is_first").withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    both = single.unionByName(several)
+    revisit = F.coalesce(~F.col("is_first"), F.lit(False)) | (F.col("place") > 1)
+    return both.select(*key, "html", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+
+
+def record(page_id: int | None, url: str, html: str, digest: str, kind: str, refers_to: int | None) -> bytes:
+    """The bytes of one record."""
+    full = html.encode()
+    payload = b"" if kind == "revisit" else full
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(full)}"]
+    if refers_to is not None:
+        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+    head.append(f"Content-Length: {len(payload)}")
+    return "\r\n".join(head).encode() + END.encode() + payload + END.encode()
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(path)
 
 
 def write(pages: DataFrame, path: str) -> DataFrame:
     """Write archives below ``path``/archives and return the index, written below ``path``/index."""
     spark = pages.sparkSession
-    made = stage(records(pages), "records")
-    # One file per shard, in order of row; a shard is a range of pages.
-    placed = made.repartition("shard").sortWithinPartitions("shard", "row")
-    placed.select("shard", "value").write.partitionBy("shard").option("lineSep", END).text(f"{path}/archives")
-    before = Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    length = F.octet_length("value").cast("long")
-    files = spark.read.format("binaryFile").load(f"{path}/archives").select("path", F.regexp_extract("path", r"shard=(\d+)/", 1).cast("int").alias("s"))
-    lengths = made.select("shard", "row", "page_id", "url", "digest", length.alias("length"))
-    index = lengths.withColumn("offset", F.coalesce(F.sum(F.col("length") + len(END)).over(before), F.lit(0)))
-    index.join(files, F.col("shard") == F.col("s")).select("path", "offset", "length", "page_id", "url", "digest").write.parquet(f"{path}/index")
-    return spark.read.parquet(f"{path}/index")
+    whole = lambda x: None if pd.isna(x) else int(x)
+
+    def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, name, offset = None, f"{path}/archives/{uuid.uuid4().hex}.warc.gz", 0
+        try:
+            for batch in batches:
+                if len(batch) and out is None:
+                    store, inner = opened(name)
+                    store.create_dir(inner.rsplit("/", 1)[0])
+                    out = store.open_output_stream(inner, compression=None)
+                index = []
+                for r in batch.itertuples(index=False):
+                    data = gzip.compress(record(whole(r.page_id), r.url, r.html, r.digest, r.kind, whole(r.refers_to)), LEVEL, mtime=0)
+                    out.write(data)
+                    index.append((name, offset, len(data), whole(r.page_id), r.url, r.digest))
+                    offset += len(data)
+                table = pd.DataFrame(index, columns=["path", "offset", "length", "page_id", "url", "digest"])
+                yield table.astype({"page_id": "Int64"})
+        finally:
+            if out is not None:
+                out.close()
+
+    decided(pages).mapInPandas(archive, INDEX).write.parquet(f"{path}/index")
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
 def ranges(rows: pd.DataFrame) -> Iterator[tuple[int, int, pd.DataFrame]]:
@@ -96,7 +126,8 @@ def ranges(rows: pd.DataFrame) -> Iterator[tuple[int, int, pd.DataFrame]]:
 
 def parse(record: bytes) -> tuple:
     """page_id, length and digest of the full payload, type, refers_to of one record."""
-    head, payload = record.split(END.encode(), 1)
+    head, payload = gzip.decompress(record).split(END.encode(), 1)
+    payload = payload[: -len(END)]
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     number = lambda text: int(text[len("<urn:page:") : -1]) if text[len("<urn:page:") : -1] else None
     size, digest = int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].split(":", 1)[1]
@@ -116,7 +147,7 @@ def read(selected: DataFrame) -> DataFrame:
         for batch in batches:
             for path, rows in batch.groupby("path", sort=False):
                 if path != name:
-                    store, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if not path.startswith("file://") else path)
+                    store, inner = opened(path)
                     name, file = path, store.open_input_file(inner)
                 for start, end, run in ranges(rows):
                     data = file.read_at(end - start, start)
