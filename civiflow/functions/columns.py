@@ -42,9 +42,16 @@ def to_timestamp_or_null(c: Column, formats: list[str] | None = None) -> Column:
     return F.coalesce(*tries)
 
 
+DECIMAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
+
 def to_double_or_null(c: Column) -> Column:
-    """Number; text that is none, and NaN, give NULL."""
-    return F.nullif(c.try_cast("double"), F.lit(float("nan")))
+    """Number; text that is none, and NaN, give NULL.
+
+    Suffixed and hexadecimal literals, which the cast would take, are no numbers.
+    """
+    number = F.when(c.cast("string").rlike(DECIMAL), c.try_cast("double"))
+    return F.nullif(number, F.lit(float("nan")))
 
 
 def epoch_micros(c: Column) -> Column:

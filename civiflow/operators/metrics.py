@@ -86,7 +86,7 @@ def _ranking_sums() -> list[Column]:
     at_least_neg = F.col("total_neg") - F.col("before_neg")
     return [
         F.sum(pairs).alias("__pairs"),
-        F.sum(pos * at_least_pos / (at_least_pos + at_least_neg)).alias("__ap"),
+        F.sum(pos.cast("double") * at_least_pos / (at_least_pos + at_least_neg)).alias("__ap"),
         F.max("total_pos").alias("__p"),
         F.max("total_neg").alias("__n"),
     ]

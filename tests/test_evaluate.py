@@ -219,3 +219,10 @@ def test_privacy_component(spark):
     got = [r[0] for r in df.select(reports.privacy_component(F.col("level"), F.col("adv"))).collect()]
     assert got == pytest.approx([0.65 * 0.2 + 0.35 * 0.9, 1.0, 0.65 * 0.7])
     assert math.isclose(sum(reports.SCORE_WEIGHTS.values()), 1.0)
+
+
+def test_average_precision_of_billions_of_ties(spark):
+    big = 4_000_000_000
+    row = spark.range(1).select(*[F.lit(v).cast("long").alias(c) for c, v in {"pos": big, "neg": big, "before_pos": 0, "before_neg": 0, "total_pos": big, "total_neg": big}.items()])
+    sums = row.agg(*metrics._ranking_sums()).first()
+    assert sums["__ap"] == big / 2 and sums["__pairs"] == big * (big / 2.0)

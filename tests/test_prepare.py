@@ -150,3 +150,10 @@ def test_starter_frame(spark):
     assert (backwards["delayed_resolution"], backwards["zip_code"], backwards["opened_dayofweek"]) == (None, "3", 5)
     with pytest.raises(KeyError):
         starter.with_resolution_days(raw)
+
+
+def test_numbers_take_no_literal_suffix(spark):
+    texts = ["12D", "3f", "0x1p3", "nan", "", None, " 12 ", "-1.5e3", ".5", "5.", "inf"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.n for r in df.select("i", C.to_double_or_null(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [None] * 6 + [12.0, -1500.0, 0.5, 5.0, float("inf")]
