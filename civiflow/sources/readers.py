@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 CITIES = ("nyc", "chicago", "boston", "los_angeles")
 SUFFIXES = (".csv", ".parquet", ".json", ".jsonl")
 
+# The CSV dialect of all readers and of the writer: quotes are doubled inside quoted fields.
+CSV = {"header": "true", "escape": '"'}
+
 
 def resolve_city(city: str, cities: tuple[str, ...] = CITIES) -> str:
     key = city.lower()
@@ -30,7 +33,7 @@ def read_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
     suffix = suffix_of(path)
     reader = spark.read.options(**options)
     if suffix == ".csv":
-        return reader.option("header", True).csv(path)
+        return spark.read.options(**{**CSV, "multiLine": "true", **options}).csv(path)
     if suffix == ".parquet":
         return reader.parquet(path)
     if suffix == ".json":
@@ -66,7 +69,7 @@ def load_files(spark: SparkSession, paths: list[str]) -> DataFrame:
             by_header: dict[tuple[str, ...], list[str]] = {}
             for p in group:
                 by_header.setdefault(tuple(read_table(spark, p).columns), []).append(p)
-            parts += [_with_source(spark.read.option("header", True).csv(ps)) for ps in by_header.values()]
+            parts += [_with_source(spark.read.options(**CSV, multiLine="true").csv(ps)) for ps in by_header.values()]
         elif group:
             reader = spark.read.option("mergeSchema", True).option("multiLine", suffix == ".json")
             parts.append(_with_source(reader.parquet(*group) if suffix == ".parquet" else reader.json(group)))
@@ -94,8 +97,7 @@ def read_text_columns(
     Quoted line breaks keep Spark from splitting a file; where there are none,
     say so and large files are read by many tasks.
     """
-    options = {"header": "true", "escape": '"', "multiLine": str(line_breaks_in_fields).lower()}
-    return spark.read.options(**options).csv(path).select(*columns)
+    return spark.read.options(**CSV, multiLine=str(line_breaks_in_fields).lower()).csv(path).select(*columns)
 
 
 def read_csv_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
@@ -106,4 +108,4 @@ def read_csv_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     if not fs.exists(target):
         warnings.warn(f"missing file: {path}", stacklevel=2)
         return None
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return spark.read.options(**CSV, multiLine="true", inferSchema="true").csv(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civiflow.functions.columns import finite_or_null
+from civiflow.sources.readers import CSV
 
 FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
@@ -18,7 +19,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A report-sized table as one CSV file with header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def rounded(df: DataFrame, decimals: int = 4) -> DataFrame:

@@ -149,3 +149,14 @@ def test_models_fit_save_and_score(spark, tmp_path):
         again = models.FittedModel.load(spark, str(tmp_path / name))
         one, two = (m.score(df, ["request_id"]).orderBy("request_id").collect() for m in (fitted, again))
         assert one == two
+
+
+def test_csv_quotes_backslashes_and_line_breaks(spark, tmp_path):
+    rows = [("1", 'say "hi", now', "9"), ("2", "ends in \\", "8"), ("3", "two\nlines", "7")]
+    page = tmp_path / "page.csv"
+    page.write_text('a,b,c\n1,"say ""hi"", now",9\n2,"ends in \\",8\n3,"two\nlines",7\n')
+    assert sorted(tuple(r) for r in readers.read_table(spark, str(page)).collect()) == rows
+    assert sorted(tuple(r)[:3] for r in readers.load_files(spark, [str(page)]).collect()) == rows
+    assert sorted(r.b for r in readers.read_csv_if_exists(spark, str(page)).collect()) == sorted(r[1] for r in rows)
+    sinks.write_csv(spark.createDataFrame(rows, "a string, b string, c string"), str(tmp_path / "out.csv"))
+    assert sorted(tuple(r) for r in readers.read_table(spark, str(tmp_path / "out.csv")).collect()) == rows
