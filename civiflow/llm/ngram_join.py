@@ -2,12 +2,15 @@
 
 Words are runs of anything but ASCII white space, in lower case; a document is
 the set of its runs of five words (of all its words, if fewer). Each of TREES
-prefix tries orders the documents by DEPTHS[-1] minhash values. A prefix of
-DEPTHS[0] values finds a pair of similarity 0.8 in some tree with probability
-1 - (1 - 0.8^5)^20 = 0.9996, the target recall. Where such a prefix is shared by
-more than SMALL documents, longer prefixes are matched in its place, and every
-member of the crowded prefix is also tied to one chosen member at the shallowest
-and the deepest level. All candidate pairs are verified exactly.
+prefix tries orders the documents by minhash values. A prefix of DEPTH values
+finds a pair of similarity 0.8 in some tree with probability
+1 - (1 - 0.8^5)^20 = 0.9996, the target recall. Every pair that shares such a
+prefix in some tree is verified exactly, in the first tree where it does: as a
+row of its own where at most SMALL documents share the prefix, else inside
+blocks of about CELL documents, each block against each. A crowd above CELL is
+cut by set size first, and blocks whose sizes rule out the similarity do not
+meet. The blocks return link counts and roots, not pairs; their work still grows
+with the square of a crowd.
 
 Documents with the same words are one node. Documents without words, null texts
 included, are one such node and link to nothing. Ids may be null or repeated;
@@ -17,7 +20,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,13 +36,16 @@ from civiflow.plans.staging import stage
 WORDS = 5
 SIMILAR = 0.8
 TREES = 20
-DEPTHS = (5, 6, 7, 8)
+DEPTH = 5
+# Prefixes of more documents are compared block by block, not by rows of pairs.
 SMALL = 16
+CELL = 512
 BLOCK = 2048
+COLUMNS = 4096
 
 _random = np.random.default_rng(11)
-FACTORS = _random.integers(0, 2**32, TREES * DEPTHS[-1], dtype=np.uint32) | np.uint32(1)
-SHIFTS = _random.integers(0, 2**32, TREES * DEPTHS[-1], dtype=np.uint32)
+FACTORS = _random.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
+SHIFTS = _random.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,15 +75,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def prefixes(sig: np.ndarray) -> dict[int, np.ndarray]:
-    """For each depth one 64-bit key per tree, of the tree's first values."""
-    values = sig.reshape(TREES, DEPTHS[-1]).astype(np.uint64)
-    key, out = mixed(np.arange(1, TREES + 1, dtype=np.uint64) * MULTIPLIER), {}
-    for d in range(DEPTHS[-1]):
+def prefixes(sig: np.ndarray) -> np.ndarray:
+    """One 64-bit key per tree, of the tree's values."""
+    values = sig.reshape(TREES, DEPTH).astype(np.uint64)
+    key = mixed(np.arange(1, TREES + 1, dtype=np.uint64) * MULTIPLIER)
+    for d in range(DEPTH):
         key = mixed(key * MULTIPLIER + values[:, d])
-        if d + 1 in DEPTHS:
-            out[d + 1] = key.view(np.int64)
-    return out
+    return key.view(np.int64)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -84,17 +89,16 @@ def words_of(text: str) -> list[bytes]:
 
 
 def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Digest of the words, and prefix keys of documents with words."""
+    """Digest of the words; set size and prefix keys of documents with words."""
     for batch in batches:
-        digests, keys = [], {d: [] for d in DEPTHS}
+        digests, sizes, keys = [], [], []
         for text in batch["whole_text"]:
             words = words_of(text)
+            found = shingles(words)
             digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else "")
-            found = prefixes(signature(shingles(words))) if words else {}
-            for d in DEPTHS:
-                keys[d].append(found.get(d))
-        out = batch.drop(columns="whole_text").assign(digest=digests, **{f"k{d}": keys[d] for d in DEPTHS})
-        yield out
+            sizes.append(len(found))
+            keys.append(prefixes(signature(found)) if words else None)
+        yield batch.drop(columns="whole_text").assign(digest=digests, size=sizes, keys=keys)
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -102,27 +106,104 @@ def shingle_set(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(words_of(t)).view(np.int64) for t in texts])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that share a prefix."""
-    columns = [f"k{d}" for d in DEPTHS]
-    rows = nodes.select("node", F.explode(F.arrays_zip(*columns)).alias("k")).select("node", *[f"k.{c}" for c in columns])
-    found = []
-    for d, key in zip(DEPTHS, columns):
-        chosen = F.min_by("node", F.xxhash64("node", key)).alias("hub")
-        groups = stage(rows.groupBy(key).agg(F.count("*").alias("n"), chosen).where("n > 1"), "prefixes")
-        shared = rows.join(groups, key)
-        # Lists hold SMALL members at most.
-        lists = shared.where(F.col("n") <= SMALL).groupBy(key).agg(F.collect_list("node").alias("m"))
-        pairs = lists.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-        found.append(pairs.where("x < y"))
-        crowded = stage(shared.where(F.col("n") > SMALL).drop("n"), "crowded")
-        if d in (DEPTHS[0], DEPTHS[-1]):
-            found.append(crowded.where("node != hub").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")))
-        rows = crowded.drop("hub")
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionByName(more)
-    return union.distinct().withColumnsRenamed({"x": "a", "y": "b"})
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) with the first tree of a small shared prefix, and the members of crowded ones."""
+    rows = nodes.select("node", "size", F.posexplode("keys").alias("tree", "key"))
+    groups = stage(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
+    shared = rows.join(groups, "key")
+    # Lists hold SMALL members at most.
+    lists = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.first("tree").alias("tree"), F.collect_list("node").alias("m"))
+    pairs = lists.select("tree", F.explode("m").alias("a"), "m").select("tree", "a", F.explode("m").alias("b")).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.min("tree").alias("tree")), shared.where(F.col("n") > SMALL)
+
+
+def dealt(crowded: DataFrame, least: float) -> DataFrame:
+    """(node, tree, key, c, i, d, j, side): each member once for every pair of blocks that its block is part of.
+
+    Sets of similarity ``least`` lie in the same or in neighbouring size classes.
+    """
+    width = math.log(1 / least) + 1e-9
+    level = F.when(F.col("n") > CELL, F.floor(F.log("size") / width).cast("int")).otherwise(0)
+    rows = stage(crowded.select("node", "tree", "key", level.alias("c")), "crowded")
+    cells = rows.groupBy("key", "c").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    blocks = stage(cells.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", "blocks"))).alias("blocks")), "blocks")
+
+    def count(c):
+        return F.coalesce(F.try_element_at("blocks", c), F.lit(0))
+
+    def each(c, pair):
+        return F.transform(F.array_repeat(F.lit(0), count(c)), lambda _, j: F.struct(*[v.cast("int").alias(k) for k, v in pair(j).items()]))
+
+    c, i = F.col("c"), F.col("i")
+    same = each(c, lambda j: {"c": c, "i": F.least(i, j), "d": c, "j": F.greatest(i, j), "side": (i > j)})
+    above = each(c + 1, lambda j: {"c": c, "i": i, "d": c + 1, "j": j, "side": F.lit(0)})
+    below = each(c - 1, lambda j: {"c": c - 1, "i": j, "d": c, "j": i, "side": F.lit(1)})
+    placed = rows.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node", "key"), count(c)).cast("int"))
+    return placed.select("node", "tree", "key", F.explode(F.concat(same, above, below)).alias("p")).select("node", "tree", "key", "p.*")
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``."""
+    left, right = np.concatenate(a), np.concatenate(b)
+    vocabulary = np.intersect1d(left, right)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(vocabulary):
+        return out
+    sides = []
+    for sets, values in ((a, left), (b, right)):
+        at = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
+        known = vocabulary[at] == values
+        column, row = at[known], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known]
+        order = np.argsort(column, kind="stable")
+        sides.append((column[order], row[order], len(sets)))
+    for start in range(0, len(vocabulary), COLUMNS):
+        parts = []
+        for column, row, n in sides:
+            lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, len(vocabulary) - start)), np.float32)
+            part[row[lo:hi], column[lo:hi] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row it is connected to."""
+    out = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        reached = np.array([i]) if out[i] < 0 else np.zeros(0, int)
+        while len(reached):
+            out[reached] = i
+            reached = np.flatnonzero(linked[reached].any(0) & (out < 0))
+    return out
+
+
+def compared(least: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Number of links and root of each member of two blocks, over the pairs that share no earlier prefix."""
+
+    def compare(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, tree, *blocks = at
+        alone = blocks[:2] == blocks[2:]
+        sides = [rows[rows["side"] == side] for side in ((0, 0) if alone else (0, 1))]
+        linked = np.zeros((len(rows), len(rows)), bool)
+        if all(map(len, sides)):
+            (keys_a, keys_b), (sets_a, sets_b) = ([list(x[c]) for x in sides] for c in ("keys", "s"))
+            keys_a, keys_b = np.stack(keys_a), np.stack(keys_b)
+            mine = np.triu(np.ones((len(sets_a),) * 2, bool), 1) if alone else np.ones((len(sets_a), len(sets_b)), bool)
+            for t in range(tree):
+                mine &= keys_a[:, t, None] != keys_b[None, :, t]
+            x, y = np.flatnonzero(mine.any(1)), np.flatnonzero(mine.any(0))
+            if len(x):
+                common = common_counts([sets_a[k] for k in x], [sets_b[k] for k in y]).astype(np.float64)
+                sizes = [np.array([len(s) for s in sets]) for sets in (sets_a, sets_b)]
+                similar = common >= least * (sizes[0][x][:, None] + sizes[1][y][None, :] - common)
+                linked[np.ix_(x, y if alone else y + len(sets_a))] = similar & mine[np.ix_(x, y)]
+                linked |= linked.T
+        node = np.concatenate([x["node"].to_numpy(np.int64) for x in (sides[:1] if alone else sides)])
+        out = pd.DataFrame({"node": node, "root": node[roots(linked)], "n": linked.sum(1).astype(np.int64)})
+        return out[out["n"] > 0]
+
+    return compare
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,8 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
 def similar_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, text_sha256, chars, kept.
 
-    n_links counts the verified links to documents of other words; in prefixes
-    crowded at every depth these are the links to the chosen members.
+    n_links counts the verified links to documents of other words.
     """
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -158,29 +238,35 @@ def similar_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"),
         F.coalesce("text", F.lit("")).alias("whole_text"),
     )
-    schema = "doc_id long, row long, text_sha256 string, chars long, digest string, " + ", ".join(f"k{d} array<long>" for d in DEPTHS)
+    schema = "doc_id long, row long, text_sha256 string, chars long, digest string, size int, keys array<long>"
     signed = stage(source.mapInPandas(sign, schema), "signed")
     nodes = stage(signed.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("rows")), "nodes")
     reps = signed.where("digest != ''").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").withColumnRenamed("row", "node")
-    pairs = stage(candidates(reps), "pairs")
+    pairs, crowded = candidates(reps.select("node", "size", "keys"))
+    pairs, crowded = stage(pairs, "pairs"), stage(dealt(crowded, least), "dealt")
 
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    named = reps.join(needed, "node", "left_semi").select("node", F.col("doc_id").alias("d"), F.col("text_sha256").alias("sha"), F.col("chars").alias("n"))
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
+    named = reps.join(needed, "node", "left_semi").select("node", "keys", F.col("doc_id").alias("d"), F.col("text_sha256").alias("sha"), F.col("chars").alias("n"))
     texts = docs.withColumn("__sha", F.sha2(normalised("text").cast("binary"), 256)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__sha")
     texts = texts.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__sha") == F.col("sha")) & (F.length("text") == F.col("n")))
-    sets = stage(texts.select("node", shingle_set("text").alias("s")).dropDuplicates(["node"]), "sets")
-    first = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a")
-    joined = first.join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
+    sets = stage(texts.select("node", "keys", shingle_set("text").alias("s")).dropDuplicates(["node"]), "sets")
+    first = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa", "keys": "ka"}), "a")
+    joined = first.join(sets.withColumnsRenamed({"node": "b", "s": "sb", "keys": "kb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    links = stage(joined.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
-
-    roots = components(links)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = nodes.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Pairs that share a crowded prefix in an earlier tree are compared there.
+    earlier = F.exists(F.slice(F.zip_with("ka", "kb", lambda x, y: x == y), 1, F.col("tree")), lambda same: same)
+    links = stage(joined.where(~earlier & (common >= least * (F.size("sa") + F.size("sb") - common))).select("a", "b"), "links")
+    blocks = crowded.join(sets, "node").groupBy("key", "tree", "c", "i", "d", "j")
+    counted = stage(blocks.applyInPandas(compared(least), "node long, root long, n long"), "counted")
+
+    connected = components(links.unionByName(counted.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    ones = [links.select(F.col(c).alias("node"), F.lit(1).cast("long").alias("n")) for c in ("a", "b")]
+    degree = ones[0].unionByName(ones[1]).unionByName(counted.select("node", "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
+    placed = nodes.join(connected, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(F.min("least_id").alias("class_id"))
     placed = stage(placed.join(classes, "root").select("digest", "root", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
     # One digest may be that of a third of all rows; the join splits it.
-    rows = stage(signed.drop(*[f"k{d}" for d in DEPTHS]).join(placed, "digest"), "classes")
+    rows = stage(signed.drop("size", "keys").join(placed, "digest"), "classes")
     stay = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("stays"))
     return rows.join(stay, "root").select("doc_id", "class_id", "n_links", "text_sha256", "chars", (F.col("row") == F.col("stays")).alias("kept"))
 
