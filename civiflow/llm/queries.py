@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiflow.llm import chat, exact_dedup, language, mixing, neighbours, ngram_join, packing, pii, token_files, warc
+from civiflow.llm import chat, exact_dedup, hard_negatives, language, mixing, neighbours, ngram_join, packing, pii, substring_dedup, token_files, vector_codes, warc
 from civiflow.plans.staging import stage
 
 
@@ -62,6 +62,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,11 +95,76 @@ QUERIES = {
         op8_chat_format,
         op9_personal_data,
         op10_warc,
+        op11_hard_negatives,
+        op12_substring_dedup,
+        op13_vector_codes,
         pipeline,
     )
 }
 
+FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def lloyd_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Product codebooks by a chain of table expressions, two a round."""
+    ctes = [
+        f"vectors AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {FINITE})",
+        f"parts AS (SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM vectors, range({parts}) AS t(p))",
+        f"firsts AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM vectors QUALIFY e < {entries})",
+        "book0 AS (SELECT p, e, x AS c FROM parts JOIN firsts USING (r))",
+    ]
+    for i in range(rounds + 1):
+        distance = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+        ctes.append(f"near{i} AS (SELECT r, p, min(({distance}::HUGEINT * {entries} + e)) AS best FROM parts JOIN book{i} USING (p) GROUP BY r, p)")
+        ctes.append(f"own{i} AS (SELECT r, p, (best % {entries})::BIGINT AS e, (best // {entries})::BIGINT AS d FROM near{i})")
+        if i < rounds:
+            ctes.append(f"""cells{i} AS (
+                SELECT p, e, j, sum(x[j]) AS s, count(*) AS n FROM own{i} JOIN parts USING (p, r), range(1, 1 + (SELECT max(len(x)) FROM parts)) AS t(j) GROUP BY p, e, j),
+            moved{i} AS (
+                SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM cells{i} GROUP BY p, e),
+            book{i + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN moved{i} m USING (p, e))""")
+    last = f"own{rounds}"
+    return f"""
+        WITH {", ".join(ctes)},
+        coded AS (SELECT r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM {last} GROUP BY r),
+        digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM book{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+        FROM coded JOIN vectors USING (r), digest"""
+
+
 ORACLE = {
+    "op13_vector_codes": lloyd_sql(),
+    "op11_hard_negatives": f"""
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings WHERE {FINITE} AND label IS NOT NULL AND vec_id IS NOT NULL),
+        s AS (
+            SELECT a.r, a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+                   list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (
+            SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place
+            FROM s WHERE label = anchor_label QUALIFY place <= 5),
+        n AS (
+            SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.r, place ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM p JOIN s ON p.r = s.r AND s.label <> s.anchor_label AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+            QUALIFY rank <= 10)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n""",
+    "op12_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        t AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        s AS (
+            SELECT *, string_agg(word, ' ') OVER following AS grams, count(*) OVER following AS n
+            FROM t WINDOW following AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+        m AS (SELECT r, doc_id, word, i, n = 13 AND min(doc_id) OVER (PARTITION BY grams, n) < doc_id AS repeated FROM s),
+        c AS (SELECT *, bool_or(repeated) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS covered FROM m),
+        k AS (
+            SELECT r, count(*) AS n_words, count(*) FILTER (covered) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT covered) AS kept
+            FROM c GROUP BY r)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (r)""",
     "op8_chat_format": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
