@@ -59,10 +59,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def parcel(*arrays: np.ndarray) -> bytes:
+def parcel(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value."""
     sizes = np.array([a.nbytes for a in arrays], "<u8")
-    return zstandard.ZstdCompressor(1).compress(b"".join([sizes.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
+    return zstandard.ZstdCompressor(level).compress(b"".join([sizes.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
 
 
 def opened(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -86,7 +86,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = 0
         while i < len(ids):
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK, "right")) - 1)
-            value = parcel(ids[i:j], ends[i + 1 : j + 1] - ends[i], data[ends[i] : ends[j]])
+            value = parcel(ids[i:j], ends[i + 1 : j + 1] - ends[i], data[ends[i] : ends[j]], level=6)
             yield pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), pa.array([value], pa.binary())], ["chunk", "data"])
             i, number = j, number + 1
 
@@ -244,7 +244,7 @@ def suffix_parcels(buckets: int):
                 for b, r in by_bucket((route[leaf] % np.uint64(buckets)).astype(np.int64)):
                     one = leaf[r]
                     where = np.repeat(begin[one], size[one]) + np.arange(size[one].sum()) - np.repeat(np.cumsum(size[one]) - size[one], size[one])
-                    rows.append((b, chunk, parcel(at[one].astype("<u4"), low[one].astype("u1"), high[one].astype("u1"), least[r], most[r], codes[where])))
+                    rows.append((b, chunk, parcel(at[one].astype("<u4"), low[one].astype("u1"), high[one].astype("u1"), least[r], most[r], *np.unique(codes[where], return_inverse=True))))
                 yield sent(rows)
 
     return send
@@ -252,8 +252,10 @@ def suffix_parcels(buckets: int):
 
 def subtree(rows: pd.DataFrame) -> pd.DataFrame:
     """For each chunk the first places of repeated windows, with the smallest document of each."""
-    parts = [opened(d, "<u4", "u1", "u1", "<i8", "<i8", "<u8") for d in rows["data"]]
+    parts = [opened(d, "<u4", "u1", "u1", "<i8", "<i8", "<u8", "<i8") for d in rows["data"]]
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    # The words of a parcel are places in its own list of words.
+    parts = [(*p[:5], p[5][p[6]]) for p in parts]
     at, low, high, least, most, codes = (np.concatenate(x) for x in zip(*parts))
     at, low, high = (x.astype(np.int64) for x in (at, low, high))
     size = high - low + WINDOW
@@ -320,7 +322,7 @@ def without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and the removed runs (first word, words) of each document."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stored = stage(source.mapInArrow(chunks, "chunk long, data binary"), "chunks")
 
