@@ -16,7 +16,8 @@ nodes deep enough, split by the words before the anchor, are the repeats, and
 each gives the smallest document below it. Equal suffixes of a chunk are one leaf,
 so a passage of very many documents costs one leaf a chunk.
 
-Words are compared by 64-bit hashes. Null text has no words; documents with a
+Runs of ANCHOR words are compared by 64-bit hashes, the other words of a window by
+47 bits of theirs. Null text has no words; documents with a
 null id come after all others, and never repeat each other, nor do rows with
 equal ids. An empty table gives an empty result; other columns are ignored.
 """
@@ -75,6 +76,15 @@ def opened(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit integers as arrays of four and of two bytes."""
+    return (values & np.uint64(2**32 - 1)).astype("<u4"), (values >> np.uint64(32)).astype("<u2")
+
+
+def joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, data) of whole documents: ids, ends in bytes, bytes."""
     part, number = TaskContext.get().partitionId(), 0
@@ -180,10 +190,11 @@ def anchor_parcels(buckets: int):
                 at, hashes, _, _ = words.anchors()
                 if not len(at):
                     continue
-                order, begin = classes(hashes)
-                unique, doc = hashes[order][begin], words.doc[at][order]
-                low, high = np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin)
-                yield sent([(b, chunk, parcel(unique[r], low[r], high[r])) for b, r in by_bucket((unique % np.uint64(buckets)).astype(np.int64))])
+                keys = hashes >> np.uint64(16)
+                order, begin = classes(keys)
+                unique, doc = keys[order][begin], words.doc[at][order]
+                low, more = np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin) - np.minimum.reduceat(doc, begin)
+                yield sent([(b, chunk, parcel(*halves(unique[r]), low[r], more[r])) for b, r in by_bucket((unique % np.uint64(buckets)).astype(np.int64))])
 
     return send
 
@@ -192,8 +203,9 @@ def shared_anchors(crowd: int):
     """For each chunk the anchors that occur in two documents; the last bit tells crowded ones."""
 
     def share(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [opened(d, "<u8", "<i8", "<i8") for d in rows["data"]]
-        hashes, low, high = (np.concatenate(x) for x in zip(*parts))
+        parts = [opened(d, "<u4", "<u2", "<i8", "<i8") for d in rows["data"]]
+        lower, upper, low, more = (np.concatenate(x) for x in zip(*parts))
+        hashes, high = joined(lower, upper), low + more
         order, begin = classes(hashes)
         sizes = np.diff(begin, append=len(order))
         repeated = np.minimum.reduceat(low[order], begin) < np.maximum.reduceat(high[order], begin)
@@ -203,12 +215,18 @@ def shared_anchors(crowd: int):
         cuts = np.cumsum([0, *[len(p[0]) for p in parts]])
         for chunk, a, b in zip(rows["chunk"], cuts, cuts[1:]):
             if keep[a:b].any():
-                out.append((chunk, parcel(hashes[a:b][keep[a:b]], crowded[a:b][keep[a:b]])))
+                out.append((chunk, parcel(*halves(hashes[a:b][keep[a:b]]), crowded[a:b][keep[a:b]])))
         return pd.DataFrame(out, columns=["chunk", "data"])
 
     return share
 
 
+def listed(codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each code once, and the places of all codes among them."""
+    unique, place = np.unique(codes, return_inverse=True)
+    return *halves(unique), place.astype("<u4")
+
+
 def suffix_parcels(buckets: int):
     """Suffixes at shared anchors with the words before them, one of each kind in a chunk, by prefix."""
 
@@ -216,13 +234,14 @@ def suffix_parcels(buckets: int):
         for batch in batches:
             for chunk, data, replies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 words = Words(data.as_py())
-                known = [opened(r, "<u8", "?") for r in replies.as_py()]
-                shared, crowded = (np.concatenate(x) for x in zip(*known))
+                lower, upper, crowded = (np.concatenate(x) for x in zip(*[opened(r, "<u4", "<u2", "?") for r in replies.as_py()]))
+                shared = joined(lower, upper)
                 order = np.argsort(shared)
                 shared, crowded = shared[order], crowded[order]
                 at, hashes, low, high = words.anchors()
-                place = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
-                found = shared[place] == hashes
+                keys = hashes >> np.uint64(16)
+                place = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+                found = shared[place] == keys
                 at, hashes, low, high, long = at[found], hashes[found], low[found], high[found], crowded[place[found]]
                 # Where the first words are crowded, each window goes by all its words.
                 n = np.where(long, high - low + 1, 1)
@@ -231,12 +250,14 @@ def suffix_parcels(buckets: int):
                 low = np.where(long, low + step, low)
                 high = np.where(long, low, high)
                 route = np.where(long, words.runs(WINDOW)[np.minimum(at - high, max(len(words.hashes) - WINDOW, 0))], hashes)
-                size = high - low + WINDOW
+                # The words before the anchor, then those after it.
+                size = high - low + WINDOW - ANCHOR
                 begin = np.cumsum(size) - size
-                spread = np.repeat(at - high - begin, size) + np.arange(size.sum())
-                codes = words.hashes[spread]
+                step = np.arange(size.sum()) - np.repeat(begin, size)
+                skip = np.where(step < np.repeat(high, size), 0, ANCHOR)
+                codes = words.hashes[np.repeat(at - high, size) + step + skip] >> np.uint64(16) | np.uint64(1)
                 powers = np.cumprod(np.full(2 * WINDOW, FACTOR))
-                key = mixed(np.add.reduceat(codes * powers[spread - np.repeat(at - high, size)], begin) + hashes + low.astype(np.uint64))
+                key = mixed(np.add.reduceat(codes * powers[step], begin) + hashes + (low + WINDOW * high).astype(np.uint64))
                 order, first = classes(key)
                 doc = words.doc[at][order]
                 least, most, leaf = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), order[first]
@@ -244,7 +265,7 @@ def suffix_parcels(buckets: int):
                 for b, r in by_bucket((route[leaf] % np.uint64(buckets)).astype(np.int64)):
                     one = leaf[r]
                     where = np.repeat(begin[one], size[one]) + np.arange(size[one].sum()) - np.repeat(np.cumsum(size[one]) - size[one], size[one])
-                    rows.append((b, chunk, parcel(at[one].astype("<u4"), low[one].astype("u1"), high[one].astype("u1"), least[r], most[r], *np.unique(codes[where], return_inverse=True))))
+                    rows.append((b, chunk, parcel(at[one].astype("<u4"), low[one].astype("u1"), high[one].astype("u1"), least[r], most[r] - least[r], hashes[one], *listed(codes[where]))))
                 yield sent(rows)
 
     return send
@@ -252,20 +273,22 @@ def suffix_parcels(buckets: int):
 
 def subtree(rows: pd.DataFrame) -> pd.DataFrame:
     """For each chunk the first places of repeated windows, with the smallest document of each."""
-    parts = [opened(d, "<u4", "u1", "u1", "<i8", "<i8", "<u8", "<i8") for d in rows["data"]]
+    parts = [opened(d, "<u4", "u1", "u1", "<i8", "<i8", "<u8", "<u4", "<u2", "<u4") for d in rows["data"]]
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    # The words of a parcel are places in its own list of words.
-    parts = [(*p[:5], p[5][p[6]]) for p in parts]
-    at, low, high, least, most, codes = (np.concatenate(x) for x in zip(*parts))
-    at, low, high = (x.astype(np.int64) for x in (at, low, high))
-    size = high - low + WINDOW
+    codes = np.concatenate([joined(p[6], p[7])[p[8]] for p in parts])
+    at, low, high, least, more, first = (np.concatenate(x) for x in zip(*[p[:6] for p in parts]))
+    at, low, high, most = at.astype(np.int64), low.astype(np.int64), high.astype(np.int64), least + more
+    size = high - low + WINDOW - ANCHOR
+    # Where the words after the anchor begin, and the anchor followed by them.
     anchor = np.cumsum(size) - size + high
-    column = np.arange(WINDOW)
-    inside = column < (WINDOW - low)[:, None]
+    column = np.arange(WINDOW - ANCHOR)
+    inside = column < (WINDOW - ANCHOR - low)[:, None]
     after = np.where(inside, codes[np.where(inside, anchor[:, None] + column, 0)], np.uint64(0))
+    after = np.hstack([first[:, None], after])
     order = np.lexsort(after.T[::-1])
     after = after[order]
-    common = np.cumprod(after[1:] == after[:-1], axis=1).sum(1)
+    # Common words of neighbours; the anchor is one column of ANCHOR words.
+    common = np.cumprod(after[1:] == after[:-1], axis=1).sum(1) + ANCHOR - 1
     owner, at, low, high, least, most, anchor = (x[order] for x in (owner, at, low, high, least, most, anchor))
     before, found = np.zeros(len(at), np.uint64), []
     for offset in range(WINDOW - ANCHOR + 1):
