@@ -11,75 +11,24 @@ documents; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
+from civiflow.llm.encoding import Encoder, bare, spaced  # noqa: F401
 from civiflow.plans.staging import stage
 
 LENGTH = 2048
 OPEN = 64
 MERGE = 64
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
-
-
-# A space between two graphic characters; pre-tokenisers cut before it.
-EDGE = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
-ODD = re.compile(r"[^!-~\w] | [^!-~\w]|^ | $")
-
-
-def spaced(text: str) -> list[str]:
-    """Chunks for byte-level vocabularies, whose tokens carry the space before a word."""
-    if ODD.search(text):
-        return EDGE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
-
-
-def bare(text: str) -> list[str]:
-    """Chunks for vocabularies that drop white space."""
-    return text.replace("\n", " ").split(" ")
-
-
-class Encoder:
-    """Encodes chunk by chunk; no token crosses the edge of a chunk, so ids are those of the whole text.
-
-    Ids of at most ``most`` chunks are kept; beyond that the store starts anew.
-    """
-
-    def __init__(self, path: str, chunks: Callable[[str], list[str]], end: int, most: int = 300_000):
-        self.tokenizer, self.chunks, self.end, self.most = load(path), chunks, end, most
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, texts: list[str], block: int = 64) -> Iterator[np.ndarray]:
-        """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-        for i in range(0, len(texts), block):
-            parts = [self.chunks(t) for t in texts[i : i + block]]
-            if len(self.known) > self.most:
-                self.known = {}
-            new = list({c for p in parts for c in p if c not in self.known})
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[c] = e.ids
-            for p in parts:
-                ids: list[int] = []
-                for c in p:
-                    ids += self.known[c]
-                ids.append(self.end)
-                yield np.array(ids, dtype="<u4")
-
-
-def load(path: str) -> Tokenizer:
-    """The tokenizer of a vocabulary file, on one thread."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Tokenizer.from_file(path)
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+PIECE = ", ".join(f"{c} long" for c in COLUMNS) + ", open boolean"
 
 
 class Windows:
@@ -111,7 +60,9 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 1, length: int = L
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([(n, pa.bool_() if n == "open" else pa.int64()) for n in (*COLUMNS, "open")])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, windows, number = Encoder(path, bare, end), Windows(length, limit), 0
 
         def rows(window: list, still_open: bool) -> list[tuple]:
@@ -123,25 +74,23 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 1, length: int = L
             number += 1
             return out
 
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(schema), schema)], schema=schema)
+
         for batch in batches:
-            base = int(batch["part"].iloc[0]) << 40 if len(batch) else 0
-            number = number or base
+            number = number or (batch.column(2)[0].as_py() << 40 if len(batch) else 0)
             out: list[tuple] = []
-            for doc, ids in zip(batch["doc_id"], encode(batch["text"].tolist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 for start in range(0, len(ids), length):
                     cut = ids[start : start + length]
                     piece = (doc, start, len(cut), zlib.crc32(cut.tobytes()), len(ids))
                     if closed := windows.add(len(cut), piece) if len(cut) < length else [piece]:
                         out += rows(closed, False)
-            yield frame(out)
-        yield frame([r for window in windows.items for r in rows(window, True)])
-
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        table = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "open"])
-        return table.astype({"doc_id": "Int64"})
+            yield table(out)
+        yield table([r for window in windows.items for r in rows(window, True)])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
-    pieces = stage(source.mapInPandas(first, PIECE), "pieces")
+    pieces = stage(source.mapInArrow(first, PIECE), "pieces")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows = Windows(length, limit)

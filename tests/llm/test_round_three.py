@@ -1,13 +1,19 @@
 """Substring removal, vector codes and hard negatives against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from civiflow.llm import hard_negatives, substring_dedup, vector_codes
+from tokenizers import Tokenizer
+
+from civiflow.llm import encoding, hard_negatives, substring_dedup, token_files, vector_codes
 
 from .conftest import ROWS
 
@@ -156,3 +162,43 @@ def test_walks_end_early():
     assert walk.walked < 0.5 * 64 * 5000
     best = np.sort(own @ others.T, 1)[:, ::-1][:, :5]
     assert (walk.best[0].scores == best).all()
+
+
+@pytest.mark.parametrize("name,rule", [("byte_bpe_50k.json", encoding.spaced), ("word_bpe_49k.json", encoding.bare)])
+def test_random_texts_have_the_ids_of_whole_texts(name, rule):
+    path = public_tokenizers.path(name)
+    whole, r = Tokenizer.from_file(path), random.Random(12)
+    pieces = ["a", "B", "É", "ß", "Σ", "中文", " ", "  ", "\n", "\t", ",", ".", "'s", "'", "9", "12", "<|endoftext|>", "-", "_", "\x1c", "́", "H̱", " ", "x" * 70, "word", "İ", "٣", "ﬁ", "​", "don't", "<|", "|>", "IT'S"]
+    texts = ["".join(r.choices(pieces, k=r.randint(0, 14))) for _ in range(4000)] + ["中" * 3000, "QUJD" * 2000, "", " "]
+    for store in (encoding.STORE, 5000):
+        found = list(encoding.Encoder(path, rule, 3, store)(pa.array(texts)))
+        assert len(found) == len(texts)
+        for text, ids in zip(texts, found):
+            assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 3], text
+
+
+def test_store_of_words_is_bounded():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = encoding.Encoder(path, encoding.bare, 1, 200_000)
+    for i in range(20):
+        list(encoder([" ".join(f"w{i}x{j}" for j in range(500)), "文" * 5000 + str(i)]))
+    held = [*encoder.store.young.items(), *encoder.store.old.items()]
+    assert sum(encoding.ENTRY + len(w) + len(x) for w, x in held) < 400_000 and max(len(w) for w, _ in held) <= encoding.LONGEST
+
+
+def test_chosen_documents_and_footers(spark, docs, tmp_path):
+    path = f"{tmp_path}/tokens"
+    token_files.write(docs, path)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    chosen = token_files.documents_of(spark, path, [7, 9])
+    assert {r.doc_id: r.ids for r in chosen.collect()} == {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x, *_ in ROWS if i in (7, 9)}
+    assert "PushedFilters: [In(doc_id" in chosen._jdf.queryExecution().toString()
+    groups = 0
+    for f in tmp_path.glob("tokens/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            ids = columns["ids.list.element"]
+            assert "DELTA_BINARY_PACKED" in ids.encodings and columns["doc_id"].has_column_index and ids.has_offset_index
+            groups += 1
+    assert groups
