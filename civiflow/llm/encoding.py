@@ -15,6 +15,7 @@ import os
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-BLOCK = 2 * 1024 * 1024
-STORE = 96 * 1024 * 1024
+BLOCK = 6 * 1024 * 1024
+STORE = 160 * 1024 * 1024
 LONGEST = 64
 # Bytes of a stored word besides its characters and ids.
 ENTRY = 200
@@ -82,27 +83,29 @@ class Store:
         self.used = 0
 
     def look(self, words: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        found = [young.get(w) for w in words]
+        found = list(map(self.young.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
-        new = []
-        for i in missing:
-            if (ids := old.get(words[i])) is None:
-                new.append(i)
-            else:
-                found[i] = ids
-        if new:
-            for i, e in zip(new, self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False)):
-                found[i] = np.array(e.ids, "<u4").tobytes()
-        for i in missing:
-            if len(words[i]) <= LONGEST:
-                young[words[i]] = found[i]
-                self.used += ENTRY + len(words[i]) + len(found[i])
+        if not missing:
+            return found
+        wanted = [words[i] for i in missing]
+        ids = list(map(self.old.get, wanted))
+        new = [k for k, x in enumerate(ids) if x is None]
+        for k, e in zip(new, self.tokenizer.encode_batch_fast([wanted[k] for k in new], add_special_tokens=False)):
+            ids[k] = array("I", e.ids).tobytes()
+        for i, x in zip(missing, ids):
+            found[i] = x
+        short = [(w, x) for w, x in zip(wanted, ids) if len(w) <= LONGEST]
+        self.young.update(short)
+        self.used += sum(ENTRY + len(w) + len(x) for w, x in short)
         if self.used > self.limit:
-            self.young, self.old, self.used = {}, young, 0
+            self.young, self.old, self.used = {}, self.young, 0
         return found
 
 
+def strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def gathered(table: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the entries ``index`` of the table, end to end, and the number of each."""
     flat = np.frombuffer(b"".join(table), "<u4")
@@ -157,7 +160,7 @@ class Encoder:
         lists = [self.chunks(t) for t in texts.to_pylist()]
         coded = pa.array([c for x in lists for c in x], pa.large_string()).dictionary_encode()
         counts = np.array([len(x) for x in lists], np.int64)
-        return self.split(self.store.look(coded.dictionary.to_pylist()), coded.indices.to_numpy(), np.cumsum(counts) - counts)
+        return self.split(self.store.look(strings(coded.dictionary)), coded.indices.to_numpy(), np.cumsum(counts) - counts)
 
     def words(self, words: pa.Array, lead: str) -> list[bytes]:
         """Ids of distinct chunks without spaces, each taken with ``lead`` before it."""
@@ -167,9 +170,9 @@ class Encoder:
             core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
         cores = pc.coalesce(core, words).dictionary_encode()
         tails = pc.fill_null(tail, "").dictionary_encode()
-        core_ids = self.store.look([lead + w for w in cores.dictionary.to_pylist()])
-        tail_ids = self.store.look(tails.dictionary.to_pylist())
-        return [core_ids[i] + tail_ids[j] for i, j in zip(cores.indices.to_pylist(), tails.indices.to_pylist())]
+        led = pc.binary_join_element_wise(pa.scalar(lead, pa.large_string()), cores.dictionary, pa.scalar("", pa.large_string()))
+        core_ids, tail_ids = self.store.look(strings(led)), self.store.look(strings(tails.dictionary))
+        return [core_ids[i] + tail_ids[j] for i, j in zip(cores.indices.to_numpy().tolist(), tails.indices.to_numpy().tolist())]
 
     def split(self, table: list[bytes], index: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of each text from the table entries of its chunks."""

@@ -26,7 +26,7 @@ from civiflow.plans.staging import new_path, stage
 
 ROW_GROUP = 32 * 1024 * 1024
 PAGE = 256 * 1024
-BATCH = 256
+BATCH = 2048
 SCHEMA = "doc_id long, part int, position long, n_tokens long, ids array<int>"
 
 
