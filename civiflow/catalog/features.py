@@ -240,6 +240,9 @@ FROM features GROUP BY city""",
     "pooled_train_rows": f"""WITH {SPLIT_CTES}
 SELECT request_id, city, created_date, delayed FROM split WHERE split = 'train'""",
     "external_hold_out": f"WITH {SPLIT_CTES} SELECT split, count(*) AS n FROM split WHERE city = 'EUROPE' GROUP BY split",
+    "sampled_rows": f"""WITH {LABEL_CTES}
+SELECT request_id, city, created_date, delayed FROM labeled
+QUALIFY row_number() OVER (PARTITION BY city ORDER BY md5('42:' || request_id), created_date, request_id) <= 500""",
     "first_rows_in_time": f"""WITH {LABEL_CTES}
 SELECT request_id, city, created_date FROM labeled
 QUALIFY row_number() OVER (PARTITION BY city ORDER BY created_date, request_id) <= 300""",

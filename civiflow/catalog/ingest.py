@@ -53,12 +53,14 @@ def order_text(spark, sf_dir):
 
 
 def csv_pages(spark, sf_dir):
-    """A folder of CSV pages, each with its header, scanned for two of four columns."""
+    """A folder of CSV pages with columns in two orders, scanned for two of four by name."""
     path = new_path(spark, "pages")
     pages = order_text(spark, sf_dir).repartition(8, "o_orderkey")
-    pages.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
-        "ignoreTrailingWhiteSpace", False
-    ).csv(path)
+    even = F.col("o_orderkey").cast("bigint") % 2 == 0
+    for part in (pages.filter(even), pages.filter(~even).select("note", "o_orderpriority", "o_orderkey")):
+        part.write.mode("append").option("header", True).option("escape", '"').option(
+            "ignoreLeadingWhiteSpace", False
+        ).option("ignoreTrailingWhiteSpace", False).csv(path)
     return readers.read_text_columns(spark, path, ["o_orderkey", "note"])
 
 
@@ -95,7 +97,10 @@ def drifting_rows(spark, sf_dir):
     header = spark.range(parts).select(
         F.col("id").alias("part"),
         F.lit(0).alias("position"),
-        F.lit("srnumber,createddate,requestsource,requesttype,owner").alias("value"),
+        # One file in four has the newer header, though older rows too.
+        F.when(F.col("id") % 4 == 0, "srnumber,createddate,requestsource,createdbyuserorganization,requesttype,owner")
+        .otherwise("srnumber,createddate,requestsource,requesttype,owner")
+        .alias("value"),
     )
     together = lines.unionByName(header).repartition(parts, "part").sortWithinPartitions("part", "position")
     together.drop("position").write.partitionBy("part").text(path)
@@ -106,16 +111,20 @@ def drifting_rows(spark, sf_dir):
 
 def response_pages(spark, sf_dir):
     """Datastore responses of at most 500 orders each, some behind the proxy's marker."""
-    fields = F.array(*[F.struct(F.lit(n).alias("id")) for n in ("_id", "status", "priority")])
+    # The lowest number announces all fields; as text, "page-10" would come before it.
+    names = [F.struct(F.lit(n).alias("id")) for n in ("_id", "status", "priority")]
+    fields = F.when(F.col("page") == F.lit("page-2"), F.array(*names)).otherwise(F.array(*names[:2]))
     record = F.create_map(
         F.lit("_id"), F.col("o_orderkey").cast("string"), F.lit("status"), F.col("o_orderstatus"),
         F.when(F.col("o_orderkey") % 5 == 0, "other").otherwise("priority"), F.col("o_orderpriority"),
     )
-    pages = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 500).alias("page")).agg(
+    pages = table(spark, sf_dir, "orders").groupBy(
+        F.concat(F.lit("page-"), (F.floor(F.col("o_orderkey") / 500) + 2).cast("string")).alias("page")
+    ).agg(
         F.collect_list(record).alias("records")
     )
     body = F.to_json(F.struct(F.struct(fields.alias("fields"), F.col("records")).alias("result")))
-    title = F.when(F.col("page") % 2 == 0, F.lit(f"Title: data\n\n{ckan.MARKER}")).otherwise("")
+    title = F.when(F.col("page").endswith("2"), F.lit(f"Title: data\n\n{ckan.MARKER}")).otherwise("")
     return pages.select("page", F.concat(title, body, F.lit("\n")).alias("value"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from civiflow.catalog.evaluate import SAMPLE_CTE, attack_ctes, attacks, drift_ctes, fairness_sql, importance, metric_ctes, r6
+from civiflow.catalog.evaluate import attack_ctes, attacks, drift_ctes, fairness_sql, importance, metric_ctes, r6
 from civiflow.catalog.features import feature_table
 from civiflow.catalog.inputs import (
     CLIENTS,
@@ -70,7 +70,7 @@ def trust_scores(spark, sf_dir, rows=None, macro=None):
         mean_calibration(rows),
         fairness.fairness_summary(rows, ["city"]),
         drift(spark, sf_dir),
-        attacks(spark, sf_dir, rows=rows),
+        attacks(spark, sf_dir, None, rows),
     )
 
 
@@ -88,25 +88,6 @@ def transfer_results(spark, sf_dir):
 TRAIN_ROWS = ["BUILDING", "MACHINERY", "AUTOMOBILE", "centralized"]
 
 
-def named_models(spark, sf_dir):
-    """Display names, labels, budgets and slugs of model names."""
-    keys = ["logistic_regression", "XGBoost", "FEDPROX", "mlp", "FedAvg + DP eps=8", "FedProx + DP eps = 3 with a long tail"]
-    names = F.array(*[F.lit(k) for k in keys])
-    m = F.col("name")
-    rows = table(spark, sf_dir, "orders").select(F.get(names, (F.col("o_orderkey") % 6).cast("int")).alias("name"))
-    return finish(
-        rows.groupBy("name")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            display_name(m).alias("shown"),
-            short_label(m).alias("label"),
-            epsilon(m).alias("epsilon"),
-            slug(m).alias("slug"),
-            "n",
-        )
-    )
-
-
 def main_table(spark, sf_dir):
     rows = scored(spark, sf_dir)
     by_city = stage(model_metrics(spark, sf_dir, rows), "metrics")
@@ -159,7 +140,6 @@ def city_manifest(spark, sf_dir):
 
 
 QUERIES = {
-    "run_summaries": lambda s, d: finish(run_summaries(s, d)),
     "round_metrics": lambda s, d: finish(history_means(s, d)),
     "early_stopping": stopped,
     "comparison_table": lambda s, d: finish(macro_table(s, d)),
@@ -180,7 +160,7 @@ QUERIES = {
     "top_models": lambda s, d: finish(reports.top_models(trust_scores(s, d)).select("model", "trust_score")),
     "main_comparison": main_table,
     "rounded_table": lambda s, d: finish(sinks.rounded(model_metrics(s, d).select("model", "city", "auroc", "ece"), 2)),
-    "figure_attack": lambda s, d: figure(s, d, attacks(s, d), {"model": ["model"], "attack_auc": ["mia_auc", "attack_auc"]}),
+    "figure_attack": lambda s, d: figure(s, d, attacks(s, d, None), {"model": ["model"], "attack_auc": ["mia_auc", "attack_auc"]}),
     "figure_fairness": lambda s, d: figure(
         s, d,
         reports.fairness_city_rows(fairness.fairness_summary(predictions(s, d))),
@@ -192,7 +172,6 @@ QUERIES = {
         {"model": ["model"], "training_time": ["runtime", "training_time_sec"], "memory": ["memory_mb", "memory_peak_mb"],
          "communication": ["communication_mb"]},
     ),
-    "model_names": named_models,
     "param_average": lambda s, d: finish(
         averaging.average_parameters(client_parameters(s, d).withColumn("run", F.lit(1)), ["run"])
     ),
@@ -218,7 +197,7 @@ _RESOURCES = f"""resources AS (
 
 # Gaps between cities follow from the per-city metrics.
 _GAPS = "gaps AS (SELECT model, max(macro_f1) FILTER (n >= 100) - min(macro_f1) FILTER (n >= 100) AS macro_f1_gap FROM full_metrics GROUP BY model)"
-_SCORES = f"""{_MACRO}, {_CALIBRATION}, {_RESOURCES}, {_GAPS}, {drift_ctes("FedAvg").strip()}, {SAMPLE_CTE}, {attack_ctes("sample").strip()},
+_SCORES = f"""{_MACRO}, {_CALIBRATION}, {_RESOURCES}, {_GAPS}, {drift_ctes("FedAvg").strip()}, {attack_ctes("predictions").strip()},
 parts AS (
   SELECT m.model, global_macro_f1 AS performance,
          CAST(0.65 AS DOUBLE) * CASE privacy_level WHEN 'None' THEN CAST(0.2 AS DOUBLE) WHEN 'Secure aggregation' THEN CAST(0.55 AS DOUBLE)
@@ -259,9 +238,6 @@ params AS (SELECT client, idx, round(avg(v), 9) AS value, count(*) AS n FROM cel
 shared AS (SELECT idx, sum(value * n) / sum(n) AS base FROM params GROUP BY idx)"""
 
 ORACLE = {
-    "run_summaries": f"""WITH {PREDICTION_CTES}, {SUMMARY_CTES.strip()}
-SELECT * REPLACE (round(noise_multiplier, 6) AS noise_multiplier, round(training_time_sec, 6) AS training_time_sec,
-                  round(memory_peak_mb, 6) AS memory_peak_mb) FROM run_summaries""",
     "round_metrics": _HISTORY
     + f""" SELECT run, round, {r6("mean_train_loss", "mean_val_macro_f1", *[f"{c}_val_macro_f1" for c in CLIENTS])} FROM rounds""",
     "early_stopping": _HISTORY
@@ -324,21 +300,13 @@ UNION ALL SELECT 'Federated/privacy', model, NULL, NULL, round(global_macro_f1,
 UNION ALL SELECT 'Trustworthiness scorecard', model, NULL, NULL, NULL, NULL, round(trust_score, 6) FROM scores""",
     "rounded_table": f"""WITH {_METRICS}
 SELECT model, city, round_even(auroc, 2) AS auroc, round_even(ece, 2) AS ece FROM full_metrics""",
-    "figure_attack": f"""WITH {PREDICTION_CTES}, {SAMPLE_CTE}, {attack_ctes("sample").strip()}
+    "figure_attack": f"""WITH {PREDICTION_CTES}, {attack_ctes("predictions").strip()}
 SELECT model, round(attack_auc, 6) AS attack_auc, {_ORDER_SQL} FROM attacks""",
     "figure_fairness": f"""WITH {PREDICTION_CTES}, {fairness_sql("predictions", ["city"], 100)}
 SELECT model, macro_f1_gap AS gap, {_ORDER_SQL} FROM fairness""",
     "figure_resources": f"""WITH {PREDICTION_CTES}, {SUMMARY_CTES.strip()}, {_RESOURCES}
 SELECT model, round(training_time_sec, 6) AS training_time, round(memory_peak_mb, 6) AS memory,
        round(total_communication_mb, 6) AS communication, {_ORDER_SQL} FROM resources""",
-    "model_names": """WITH names AS (
-  SELECT ['logistic_regression', 'XGBoost', 'FEDPROX', 'mlp', 'FedAvg + DP eps=8', 'FedProx + DP eps = 3 with a long tail'] AS names),
-r AS (SELECT names[o_orderkey % 6 + 1] AS name, count(*) AS n FROM orders, names GROUP BY 1)
-SELECT CASE lower(name) WHEN 'logistic_regression' THEN 'Logistic Regression' WHEN 'xgboost' THEN 'XGBoost'
-         WHEN 'fedprox' THEN 'FedProx' WHEN 'mlp' THEN 'MLP' ELSE name END AS shown,
-       CASE WHEN length(name) <= 24 THEN name ELSE name[1:23] || '...' END AS label,
-       TRY_CAST(NULLIF(regexp_extract(lower(name), 'eps\\s*=\\s*([0-9.]+)', 1), '') AS DOUBLE) AS epsilon,
-       replace(replace(replace(replace(lower(name), ' + ', '_'), ' ', '_'), '=', ''), '-', '_') AS slug, n FROM r""",
     "param_average": _PARAMS + " SELECT CAST(1 AS BIGINT) AS run, idx, round(base, 6) AS value FROM shared",
     "clip_update": _PARAMS
     + """, moved AS (SELECT *, value - base AS delta FROM params JOIN shared USING (idx)),

@@ -64,11 +64,11 @@ def split_summary(split: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, by: list[str], limit: int, seed: int = 42) -> DataFrame:
-    """At most ``limit`` rows per group, chosen by a seeded hash of the id.
+    """At most ``limit`` rows per group, chosen by the digest of seed and id.
 
-    Groups below the limit are kept whole.
+    Groups below the limit are kept whole. Any engine with md5 picks the same rows.
     """
-    hashed = _tagged(df).withColumn("__hash", F.xxhash64(F.col("request_id"), F.lit(seed)))
+    hashed = _tagged(df).withColumn("__hash", F.md5(F.concat_ws(":", F.lit(seed), F.col("request_id").cast("string"))))
     return first_n(hashed, by, ["__hash", *TIME_ORDER], limit).drop("__hash", ID_KEY)
 
 

@@ -5,36 +5,38 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiflow.functions.text import feature_names, let, tokens, with_bigrams
+from civiflow.functions.text import feature_names, tokens, with_bigrams
 
 
 def terms(text: str) -> Column:
     return with_bigrams(tokens(F.col(text)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has, as one file may hold all texts."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def term_statistics(df: DataFrame, text: str) -> DataFrame:
     """Total count and document frequency of every term.
 
-    Each document is sorted in place so that the first copy of a term can be
-    told from the rest; one map-side combined aggregation then gives both.
+    Each document gives its terms and, marked, each distinct term once more; both
+    are counted by one map-side combined aggregation.
     """
-
-    def marked(words: Column) -> Column:
-        return F.transform(
-            words,
-            lambda t, i: F.struct(
-                t.alias("term"),
-                F.when((i > 0) & (F.get(words, i - 1) == t), 0).otherwise(1).alias("first"),
-            ),
-        )
-
+    listed = spread(df.select(text)).select(terms(text).alias("all"))
+    both = listed.select(
+        F.explode(F.array(F.struct(F.lit(0).alias("first"), F.col("all").alias("t")), F.struct(F.lit(1).alias("first"), F.array_distinct("all").alias("t")))).alias("x")
+    )
     return (
-        df.select(F.inline(let(F.sort_array(terms(text)), marked)))
+        both.select("x.first", F.explode("x.t").alias("term"))
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("term_count"), F.sum("first").alias("document_frequency"))
+        .agg(F.count_if(F.col("first") == 0).alias("term_count"), F.sum("first").alias("document_frequency"))
     )
 
 
@@ -77,37 +79,26 @@ class TfidfModel:
     def names(self) -> list[str]:
         return feature_names(self.terms)
 
-    def _vector(self, text: str) -> Column:
-        """Dense weights of unit length, computed inside the row."""
-        known = F.from_json(F.lit(json.dumps(self.terms)), "array<string>")
-        rows = [{"t": t, "idf": i} for t, i in zip(self.terms, self.idf, strict=True)]
-        pairs = F.from_json(F.lit(json.dumps(rows)), "array<struct<t: string, idf: double>>")
-
-        def weighted(hits: Column) -> Column:
-            return F.transform(pairs, lambda p: F.size(F.filter(hits, lambda w: w == p["t"])) * p["idf"])
-
-        def norm(raw: Column) -> Column:
-            length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-            return F.when(length > 0, length).otherwise(F.lit(1.0))
-
-        def unit(raw: Column) -> Column:
-            return let(norm(raw), lambda n: F.transform(raw, lambda x: x / n))
-
-        hits = F.filter(terms(text), lambda w: F.array_contains(known, w))
-        return let(let(hits, weighted), unit)
+    def _sparse(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        """Add the weights as one sparse vector of unit length; rows are not moved."""
+        if not self.terms:
+            return df.withColumn(out, array_to_vector(F.array().cast("array<double>")))
+        counter = CountVectorizerModel.from_vocabulary(self.terms, "__terms", "__counts")
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="__counts", outputCol="__raw")
+        unit = Normalizer(p=2.0, inputCol="__raw", outputCol=out)
+        rows = df.withColumn("__terms", terms(text))
+        return unit.transform(scaled.transform(counter.transform(rows))).drop("__terms", "__counts", "__raw")
 
     def with_vector(self, df: DataFrame, text: str, out: str) -> DataFrame:
         """Add the dense weights as an array; rows are not moved."""
-        return df.withColumn(out, self._vector(text))
+        return self._sparse(df, text, out).withColumn(out, vector_to_array(out))
 
     def weight_rows(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """Long form (key, term, weight) of the non-zero weights."""
         names = F.from_json(F.lit(json.dumps(self.terms)), "array<string>")
-        cells = F.zip_with(
-            names, self._vector(text), lambda t, w: F.struct(t.alias("term"), w.alias("weight"))
-        )
-        found = F.filter(cells, lambda c: c["weight"] > 0)
-        return df.select(key, F.inline(found))
+        vectors = self.with_vector(spread(df.select(key, text)), text, "__tfidf")
+        cells = F.zip_with(names, F.col("__tfidf"), lambda t, w: F.struct(t.alias("term"), w.alias("weight")))
+        return vectors.select(key, F.inline(F.filter(cells, lambda c: c["weight"] > 0)))
 
     def with_columns(self, df: DataFrame, text: str) -> DataFrame:
         """Add one float column per term."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiflow.functions.columns import MICROS_PER_DAY, epoch_micros
 from civiflow.plans.joins import lookup
+from civiflow.plans.ordered import running_sums
 from civiflow.plans.staging import stage
 
 
@@ -15,57 +16,50 @@ def trailing_counts(df: DataFrame, base: list[str], kinds: list[str], ts: str, d
 
     One output row per distinct (base, kind, value, ts), with ``n`` rows behind
     it. A row counts from just after its time until just after ``days`` later,
-    so the answer at t is a running sum of +n and -n steps before t. The steps
-    of one key are cut by calendar day; day totals give the starting values, so
-    no task holds more than one day of one key.
+    so the answer at t is the sum of all +n and -n steps before t. The steps are
+    swept in (key, time) order by ranges, so neither a key nor a day is tied to
+    one task.
     """
     values = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in kinds])
+    key = [*base, "kind", "value"]
     points = (
         df.filter(F.col(ts).isNotNull())
         .select(*base, ts, F.inline(values))
-        .groupBy(*base, "kind", "value", ts)
+        .groupBy(*key, ts)
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("__t", epoch_micros(F.col(ts)))
     )
     steps = F.array(
-        F.struct(F.col("__t").alias("__at"), F.col("n").alias("__step"), F.col("n").alias("__own")),
+        F.struct(F.col("__t").alias("__at"), F.col("n").alias("__step"), F.col(ts).alias("__ts"), F.col("n").alias("__own")),
         F.struct(
             (F.col("__t") + F.lit(days * MICROS_PER_DAY)).alias("__at"),
             (-F.col("n")).alias("__step"),
+            F.lit(None).cast(df.schema[ts].dataType).alias("__ts"),
             F.lit(0).cast("bigint").alias("__own"),
         ),
     )
-    key = [*base, "kind", "value"]
-    events = points.select(*key, ts, F.inline(steps)).withColumn(
-        "__day", F.floor(F.col("__at") / F.lit(MICROS_PER_DAY))
-    )
-    per_day = F.struct(*key, "__day")
-    earlier = Window.partitionBy(*key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        events.groupBy(*key, "__day")
-        .agg(F.sum("__step").alias("s"))
-        .select(per_day.alias("__start_key"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("start"))
+    combined = (
+        points.select(*key, F.inline(steps))
+        .groupBy(*key, "__at")
+        .agg(F.sum("__step").alias("step"), F.max("__ts").alias(ts), F.sum("__own").alias("n"))
     )
-    inside = Window.partitionBy("__key").orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
-    running = (
-        events.withColumn("__key", per_day)
-        .join(starts, F.col("__key") == F.col("__start_key"))
-        .withColumn("trailing", F.col("start") + F.coalesce(F.sum("__step").over(inside), F.lit(0)))
-    )
-    return running.filter("__own > 0").select(*key, ts, F.col("__own").alias("n"), "trailing")
+    swept = running_sums(combined, key, ["__at"], ["step"])
+    return swept.filter(F.col("n") > 0).select(*key, ts, "n", F.col("before_step").alias("trailing"))
 
 
 def with_trailing_counts(
     df: DataFrame, base: list[str], names: dict[str, str], ts: str, days: int = 7
 ) -> DataFrame:
-    """Add a trailing count per kind column; ``names`` maps kind to output name."""
+    """Add a trailing count per kind column; ``names`` maps kind to output name.
+
+    The counts are joined to the distinct keys, and these once to the rows.
+    """
     table = stage(trailing_counts(df, base, list(names), ts, days), "trailing", ["kind"])
-    out = df
+    keys = [*base, *names, ts]
+    narrow = df.select(*keys).distinct()
     for kind, name in names.items():
         counts = table.filter(F.col("kind") == kind).select(
-            *base, F.col("value").alias("__value"), ts, F.col("n").alias("__n"), F.col("trailing").cast("int").alias(name)
+            *base, F.col("value").alias("__value"), ts, F.col("trailing").cast("int").alias(name)
         )
-        keyed = out.withColumn("__value", F.col(kind).cast("string"))
-        out = lookup(keyed, counts.drop("__n"), [*base, "__value", ts]).drop("__value")
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-    return out
+        narrow = lookup(narrow.withColumn("__value", F.col(kind).cast("string")), counts, [*base, "__value", ts]).drop("__value")
+    return lookup(df, narrow, keys).withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in names.values()})

@@ -89,51 +89,33 @@ def cut_keys(
 
     ``positions`` maps an output name to a function of the group's row count.
     The result has one row per group and one struct column per name, NULL where
-    the position lies outside the group. Positions are located one order column
-    at a time: counts per distinct value first, then only the rows that share
-    the value found are looked at for the next column. The result is derived from
-    a staged table, so its size is known when it is joined.
+    the position lies outside the group. Keys, combined to one row per distinct
+    key, are cut into ranges; row counts of the ranges tell which of them hold a
+    position, and only those are looked into. Ranges, targets and the keys found
+    are staged tables, so the size of the last is known when it is joined.
     """
-    rows = df.select(*group, *order)
-    targets = None
-    for level, column in enumerate(order):
-        fixed = order[:level]
-        if targets is None:
-            counts = rows.groupBy(*group, column).agg(F.count(F.lit(1)).alias("n"))
-            sums = running_sums(counts, group, [column], ["n"])
-            wanted = F.array(
-                *[
-                    F.struct(F.lit(name).alias("name"), f(F.col("total_n")).cast("bigint").alias("at"))
-                    for name, f in positions.items()
-                ]
-            )
-            here = F.filter(wanted, lambda w: (w["at"] >= F.col("before_n")) & (w["at"] < F.col("upto_n")))
-            found = sums.select("*", F.inline(here))
-        else:
-            renamed = targets.withColumnsRenamed({k: f"__t_{k}" for k in [*group, *fixed]})
-            narrowed = rows.join(renamed, _all_equal(rows, [*group, *fixed]), "inner")
-            counts = narrowed.groupBy(*group, "name", "at", *fixed, column).agg(
-                F.count(F.lit(1)).alias("n")
-            )
-            sums = running_sums(counts, [*group, "name"], [column], ["n"])
-            found = sums.filter((F.col("at") >= F.col("before_n")) & (F.col("at") < F.col("upto_n")))
-        targets = stage(
-            found.select(
-                *group, *fixed, column, "name", (F.col("at") - F.col("before_n")).alias("at")
-            ),
-            "targets",
-        )
-    key = F.struct(*order)
-    return targets.groupBy(*group).agg(
-        *[F.max(F.when(F.col("name") == name, key)).alias(name) for name in positions]
+    keys = df.groupBy(*group, *order).agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(keys.repartitionByRange(*group, *order).withColumn(SLICE, F.spark_partition_id()), "ranges")
+    place = F.struct(*group, SLICE).alias("__place")
+    totals = rows.groupBy(*group, SLICE).agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
+    sums = totals.withColumns({"total": F.sum("n").over(whole), "upto": F.sum("n").over(upto)})
+    wanted = F.array(
+        *[F.struct(F.lit(name).alias("name"), f(F.col("total")).cast("bigint").alias("at")) for name, f in positions.items()]
+    )
+    start = F.col("upto") - F.col("n")
+    here = F.filter(wanted, lambda w: (w["at"] >= start) & (w["at"] < F.col("upto")))
+    held = sums.select(*group, place, start.alias("start"), F.inline(here))
+    targets = stage(held.select(*group, "__place", "name", (F.col("at") - F.col("start")).alias("at")), "targets")
+    inside = Window.partitionBy("__place").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("__place", place).join(targets.select("__place").distinct(), "__place", "left_semi")
+    near = near.select("__place", F.struct(*order).alias("__key"), "n", F.sum("n").over(inside).alias("upto"))
+    found = near.join(targets, "__place").filter((F.col("at") >= F.col("upto") - F.col("n")) & (F.col("at") < F.col("upto")))
+    return stage(
+        found.groupBy(*group).agg(*[F.max(F.when(F.col("name") == name, F.col("__key"))).alias(name) for name in positions]),
+        "cuts",
     )
-
-
-def _all_equal(rows: DataFrame, keys: list[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & rows[k].eqNullSafe(F.col(f"__t_{k}"))
-    return on
 
 
 def first_n(df: DataFrame, group: list[str], order: list[str], limit: Column | int) -> DataFrame:

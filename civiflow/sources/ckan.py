@@ -20,13 +20,22 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def flatten_pages(pages: DataFrame, page: str = "page", value: str = "value") -> DataFrame:
     """One row per record, in the column order of the first page.
 
-    Keys the first page does not announce are dropped, absent ones are NULL.
-    The field list is a handful of names, the only thing looked at up front.
+    Pages are ordered by the last number in their name. Keys the first page does
+    not announce are dropped, absent ones are NULL. Where the first page announces
+    none, the first one that does stands for it. The field list is a handful of
+    names, the only thing looked at up front.
     """
     at = F.instr(F.col(value), MARKER)
     payload = F.when(at > 0, F.substr(F.col(value), at + F.lit(len(MARKER)))).otherwise(F.col(value))
     parsed = pages.select(F.col(page), F.from_json(F.trim(payload), RESPONSE).alias("r"))
-    first = parsed.agg(F.min_by("r.result.fields", page).alias("f")).first()["f"]
-    names = [x["id"] for x in first]
+    number = F.regexp_extract(F.col(page).cast("string"), r"([0-9]+)[^0-9/]*$", 1).try_cast("bigint")
+    place = F.struct(F.coalesce(number, F.lit(-1)), F.col(page))
+    first = pages.agg(F.min_by(page, place).alias("p")).first()["p"]
+    fields = parsed.filter(F.col(page) == F.lit(first)).select("r.result.fields").first()
+    names = fields and fields[0]
+    if names is None:
+        names = parsed.filter("r.result.fields IS NOT NULL").agg(F.min_by("r.result.fields", place).alias("f")).first()["f"]
+    if names is None:
+        raise ValueError("no page announces its fields")
     records = parsed.select(F.explode("r.result.records").alias("record"))
-    return records.select(*[F.try_element_at("record", F.lit(n)).alias(n) for n in names])
+    return records.select(*[F.try_element_at("record", F.lit(x["id"])).alias(x["id"]) for x in names])

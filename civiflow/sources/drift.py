@@ -2,55 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civiflow.sources.readers import CsvGroup, csv_groups, text_schema
+
 # The column newer rows carry, and the one it follows.
 ADDED_COLUMN = "createdbyuserorganization"
 AFTER_COLUMN = "requestsource"
 
 
-def _text_schema(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of the first header line."""
-    return [c.lstrip("\ufeff") for c in spark.read.option("header", True).csv(path).columns]
-
-
 def read_drifting_csv(
     spark: SparkSession,
     path: str,
     columns: list[str],
     added: str = ADDED_COLUMN,
     after: str = AFTER_COLUMN,
-    line_breaks_in_fields: bool = True,
+    line_breaks_in_fields: bool | None = None,
 ) -> DataFrame:
     """Align rows with and without the ``added`` column by name.
 
-    The header lists the older columns. Rows are parsed with the wider schema;
-    those that do not fit are kept whole in the corrupt-record column and parsed
-    again with the narrower one. A row fitting neither makes the query fail.
-    Columns found in neither header are NULL. Files without quoted line breaks
-    can be split among tasks.
+    Files are taken by their header line, which lists the older or the newer
+    columns. Rows are parsed with the wider schema; those that do not fit are kept
+    whole in the corrupt-record column and parsed again with the narrower one. A
+    row fitting neither makes the query fail. Columns found in neither form of a
+    header are NULL in its files.
     """
-    narrow = read_header(spark, path)
+    groups = csv_groups(spark, path, line_breaks_in_fields)
+    return reduce(DataFrame.unionByName, [_aligned(spark, g, columns, added, after) for g in groups])
+
+
+def _aligned(spark: SparkSession, group: CsvGroup, columns: list[str], added: str, after: str) -> DataFrame:
+    narrow = [c for c in group.header if c != added]
     if after not in narrow:
         raise ValueError(f"unexpected header: missing {after}")
     at = narrow.index(after) + 1
-    wide = [*narrow[:at], added, *narrow[at:]]
+    wide = list(group.header) if added in group.header else [*narrow[:at], added, *narrow[at:]]
     bad, bad_again = "__bad", "__bad_again"
-    schema = _text_schema(wide).add(bad, T.StringType())
-    lines = str(line_breaks_in_fields).lower()
+    schema = text_schema(wide).add(bad, T.StringType())
     # A pruned parser would not see how many fields a row has.
-    options = {"header": "true", "multiLine": lines, "escape": '"', "enforceSchema": "true", "columnPruning": "false"}
-    rows = (
-        spark.read.schema(schema)
-        .options(**options, columnNameOfCorruptRecord=bad)
-        .csv(path)
-    )
+    rows = group.read(spark, schema, enforceSchema="true", columnPruning="false", columnNameOfCorruptRecord=bad)
     older = F.from_csv(
         F.col(bad),
         ", ".join(f"`{n}` STRING" for n in [*narrow, bad_again]),

@@ -163,3 +163,20 @@ def test_feature_lists_and_targets(spark):
 def test_most_frequent_prefers_smallest(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), (None,)], "c string")
     assert prep.most_frequent(df, ["c"]).first()["value"] == "a"
+
+
+def test_trailing_counts_of_a_hot_key_and_day_spread_over_slices(spark):
+    start = dt.datetime(2024, 5, 1)
+    hot = [("a", "hot", start + dt.timedelta(seconds=i)) for i in range(4000)]
+    cold = [("a", f"k{i % 50}", start + dt.timedelta(minutes=7 * i)) for i in range(4000)]
+    df = spark.createDataFrame(hot + cold, "city string, area string, ts timestamp_ntz")
+    # Slices this small would be merged.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = workload.trailing_counts(df, ["city"], ["area"], "ts")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = out.filter("value = 'hot'").toPandas().sort_values("ts")
+    assert rows["trailing"].tolist() == list(range(4000))
+    slices = {int(f.split("part-")[1][:5]) for f in out.inputFiles()}
+    assert len(slices) >= 4

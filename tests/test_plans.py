@@ -59,3 +59,15 @@ def test_lookup_matches_null_keys(spark):
     left = spark.createDataFrame([("a",), (None,)], "k string")
     right = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
     assert sorted(r["v"] for r in lookup(left, right, ["k"]).collect()) == [1, 2]
+
+
+def test_cut_keys_stages_three_tables_and_takes_ties(spark, monkeypatch):
+    from civiflow.plans import ordered
+
+    staged = []
+    monkeypatch.setattr(ordered, "stage", lambda df, label="t", *a: staged.append(label) or stage(df, label, *a))
+    rows = [("hot", 7, None)] * 500 + [("hot", i, str(i % 3)) for i in range(300)] + [(None, 1, "x")]
+    cuts = cut_keys(spark.createDataFrame(rows, "g string, d int, s string"), ["g"], ["d", "s"], {"x": lambda n: F.floor(n / 2)})
+    ordered_rows = sorted(((d, s) for g, d, s in rows if g == "hot"), key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    assert {r["g"]: tuple(r["x"]) for r in cuts.collect()} == {"hot": ordered_rows[400], None: (1, "x")}
+    assert len(staged) <= 3

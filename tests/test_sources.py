@@ -160,3 +160,33 @@ def test_csv_quotes_backslashes_and_line_breaks(spark, tmp_path):
     assert sorted(r.b for r in readers.read_csv_if_exists(spark, str(page)).collect()) == sorted(r[1] for r in rows)
     sinks.write_csv(spark.createDataFrame(rows, "a string, b string, c string"), str(tmp_path / "out.csv"))
     assert sorted(tuple(r) for r in readers.read_table(spark, str(tmp_path / "out.csv")).collect()) == rows
+
+
+def test_pages_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('id,text\n1,"x\ny"\n2,"say ""hi"""\n')
+    (tmp_path / "c.csv").write_text("text,id,more\nb,3,0\n")
+    (tmp_path / "d.csv").write_text("﻿id\n4\n")
+    rows = readers.read_text_columns(spark, str(tmp_path), ["id", "text"]).collect()
+    assert sorted(map(tuple, rows)) == [("1", "x\ny"), ("2", 'say "hi"'), ("3", "b"), ("4", None)]
+    groups = {g.header: g.breaks for g in readers.csv_groups(spark, str(tmp_path))}
+    assert groups == {("id", "text"): True, ("text", "id", "more"): False, ("id",): False}
+    with pytest.raises(ValueError):
+        readers.read_text_columns(spark, str(tmp_path), ["other"])
+
+
+def test_headers_change_in_a_drifting_folder(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("id,requestsource,owner\n1,Call,x\n2,App,Org,y\n")
+    (tmp_path / "2.csv").write_text("owner,id,requestsource,createdbyuserorganization\nz,3,App,Org\nw,4,Call\n")
+    rows = drift.read_drifting_csv(spark, str(tmp_path), ["id", "createdbyuserorganization", "owner"]).collect()
+    assert sorted(map(tuple, rows)) == [("1", None, "x"), ("2", "Org", "y"), ("3", "Org", "z"), ("4", None, "w")]
+
+
+def test_first_page_is_that_of_the_lowest_number(spark):
+    def page(fields, records):
+        return json.dumps({"result": {"fields": [{"id": f} for f in fields], "records": records}})
+
+    pages = [("p/page-10.json", page(["a"], [{"a": "1", "b": "2"}])), ("p/page-2.json", page(["a", "b"], [{"a": "3", "b": "4"}]))]
+    rows = ckan.flatten_pages(spark.createDataFrame(pages, "page string, value string"))
+    assert rows.columns == ["a", "b"] and sorted(map(tuple, rows.collect())) == [("1", "2"), ("3", "4")]
+    failed = spark.createDataFrame([("page-1", '{"success": false}'), *pages], "page string, value string")
+    assert ckan.flatten_pages(failed).columns == ["a", "b"]
