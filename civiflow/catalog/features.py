@@ -182,6 +182,9 @@ SELECT {key}, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY {key})), 6) AS
 _DOC_COND = "lang IN ('en', 'fr', 'de')"
 _DOCS = f"WITH {_terms_cte('documents', 'doc_id', 'text')}, {_vocabulary_cte('doc_id', 'documents', _DOC_COND)}"
 
+DESCRIPTOR_WEIGHT_CTES = f"""{_terms_cte('labeled', 'request_id', 'descriptor')},
+{_vocabulary_cte('request_id', 'labeled', "city IN ('AFRICA', 'AMERICA', 'ASIA')")}"""
+
 _SPLIT_STATS = """count(*) AS rows, min(created_date) AS created_date_min, max(created_date) AS created_date_max,
        round(avg(delayed), 6) AS delayed_rate"""
 
@@ -231,8 +234,7 @@ FROM features GROUP BY city""",
     "tfidf_feature_names": _DOCS
     + """ SELECT (SELECT count(*) FROM documents) AS documents, term,
        'tfidf_descriptor__' || trim(regexp_replace(term, '[^0-9a-z]+', '_', 'g'), '_') AS name FROM vocabulary""",
-    "descriptor_tfidf": f"""WITH {LABEL_CTES}, {_terms_cte('labeled', 'request_id', 'descriptor')},
-{_vocabulary_cte('request_id', 'labeled', "city IN ('AFRICA', 'AMERICA', 'ASIA')")}"""
+    "descriptor_tfidf": f"WITH {LABEL_CTES}, {DESCRIPTOR_WEIGHT_CTES}"
     + _weights_sql("request_id"),
     "time_split": f"WITH {SPLIT_CTES} SELECT request_id, city, created_date, split FROM split",
     "time_split_summary": f"WITH {SPLIT_CTES} SELECT city, split, {_SPLIT_STATS} FROM split GROUP BY city, split",

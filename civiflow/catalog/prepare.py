@@ -179,7 +179,7 @@ harmonized AS (
   FROM mixed)
 """
 
-_STARTER = """WITH source AS (
+STARTER = """WITH source AS (
   SELECT l_orderkey AS order_key, l_linenumber AS line_number, o_orderdate AS opened_at,
          CASE WHEN l_linenumber <> 3 THEN l_shipdate END AS closed_at, o_orderpriority AS request_type,
          COALESCE(CASE WHEN l_linenumber > 2 THEN l_returnflag END, l_linestatus) AS zip_code
@@ -250,13 +250,13 @@ FROM ({SERVICE_REQUESTS_SQL}) GROUP BY 1""",
 SELECT request_id, city, created_date, round(CASE WHEN d >= 0 THEN d END, 6) AS resolution_days FROM r""",
     "fixed_delay_label": f"""WITH r AS (SELECT *, {HOURS_SQL} / CAST(24 AS DOUBLE) AS d FROM ({SERVICE_REQUESTS_SQL}))
 SELECT city, CASE WHEN d >= 0 THEN CAST(d > 30 AS BIGINT) END AS delayed_resolution, count(*) AS n FROM r GROUP BY 1, 2""",
-    "starter_frame": _STARTER
+    "starter_frame": STARTER
     + """SELECT order_key, CAST(line_number AS BIGINT) AS line_number, request_type, zip_code,
        round(days, 6) AS resolution_days, CASE WHEN days IS NOT NULL THEN CAST(days > 30 AS BIGINT) END AS delayed_resolution,
        CAST(year(opened_at) AS BIGINT) AS opened_year, CAST(month(opened_at) AS BIGINT) AS opened_month,
        CAST(isodow(opened_at) - 1 AS BIGINT) AS opened_dayofweek, CAST(hour(opened_at) AS BIGINT) AS opened_hour
 FROM prepared""",
-    "known_targets": _STARTER
+    "known_targets": STARTER
     + """SELECT request_type, CAST(days > 30 AS BIGINT) AS delayed_resolution, count(*) AS n,
        CAST(sum(order_key) AS BIGINT) AS keys FROM prepared WHERE days IS NOT NULL GROUP BY 1, 2""",
 }

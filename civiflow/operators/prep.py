@@ -9,6 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civiflow.functions.columns import to_double_or_null
 from civiflow.operators.features import CATEGORICAL, IDENTITY, TARGETS
@@ -21,7 +22,7 @@ UNSEEN = "__unseen__"
 MISSING = "missing"
 NOT_FEATURES = {*IDENTITY, *TARGETS, "split", "y_true", "weight"}
 
-NUMBERS = ("scale", "center", "min_frequency", "categorical", "numeric", "fill", "mean", "std")
+NUMBERS = ("scale", "center", "min_frequency", "by_type", "categorical", "numeric", "fill", "category_fill", "mean", "std")
 
 # Columns the first-pass pipeline never learns from.
 LEAKAGE = {"delayed_resolution", "opened_at", "closed_at", "resolution_days", "source_file"}
@@ -38,6 +39,13 @@ def feature_kinds(df: DataFrame) -> tuple[list[str], list[str]]:
     return [c for c in CATEGORICAL if c in names], [c for c in names if c not in CATEGORICAL]
 
 
+def kinds_by_type(df: DataFrame) -> tuple[list[str], list[str]]:
+    """Every column the first-pass pipeline learns from: those that are no numbers, and the numbers."""
+    names = feature_columns(df, LEAKAGE | {"y_true", "weight"})
+    numeric = [c for c in names if isinstance(df.schema[c].dataType, T.NumericType)]
+    return [c for c in names if c not in numeric], numeric
+
+
 def build_xy(df: DataFrame, target: str = "delayed_resolution", drop: set[str] = frozenset()) -> DataFrame:
     """Rows with a known target: the feature columns and the target as an integer."""
     names = feature_columns(df, LEAKAGE | {target} | set(drop))
@@ -72,11 +80,19 @@ def level_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return unpivot(df, columns, "string").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def encoded_levels(df: DataFrame, columns: list[str], min_frequency: int, fill: str | None = MISSING) -> DataFrame:
-    """Label of every known value: itself, or the shared infrequent one."""
+def encoded_levels(
+    df: DataFrame, columns: list[str], min_frequency: int, fill: str | dict[str, str] | None = MISSING
+) -> DataFrame:
+    """Label of every known value: itself, or the shared infrequent one.
+
+    ``fill`` stands for missing values, one for all columns or one for each.
+    """
     counts = level_counts(df, columns)
     if fill is not None:
-        counts = counts.withColumn("value", F.coalesce("value", F.lit(fill)))
+        value = F.lit(fill) if isinstance(fill, str) else F.lit(MISSING)
+        for c, v in fill.items() if isinstance(fill, dict) else ():
+            value = F.when(F.col("feature") == c, F.lit(v)).otherwise(value)
+        counts = counts.withColumn("value", F.coalesce("value", value))
         counts = counts.groupBy("feature", "value").agg(F.sum("n").alias("n"))
     label = F.when(F.col("n") >= min_frequency, F.col("value")).otherwise(INFREQUENT)
     return counts.withColumn("label", label)
@@ -110,23 +126,29 @@ class Preprocessor:
     """Turns feature rows into a ``features`` vector.
 
     Medians, moments and level counts come from the training rows. Missing
-    categories are the value 'missing'; values below ``min_frequency`` share one
+    categories are the value 'missing', or with ``by_type`` the most frequent one
+    of their column; columns then are numbers or categories by their data type
+    instead of by name. Values below ``min_frequency`` share one
     column; values never seen in training have no column set.
     """
 
     scale: bool = True
     center: bool = False
     min_frequency: int = 20
+    by_type: bool = False
     categorical: list[str] = field(default_factory=list)
     numeric: list[str] = field(default_factory=list)
     fill: dict[str, float] = field(default_factory=dict)
+    category_fill: dict[str, str] = field(default_factory=dict)
     mean: dict[str, float] = field(default_factory=dict)
     std: dict[str, float] = field(default_factory=dict)
     levels: DataFrame | None = None
     encoder: PipelineModel | None = None
 
     def fit(self, train: DataFrame) -> Preprocessor:
-        self.categorical, self.numeric = feature_kinds(train)
+        self.categorical, self.numeric = (kinds_by_type if self.by_type else feature_kinds)(train)
+        if self.by_type:
+            self.category_fill = {r["feature"]: r["value"] for r in most_frequent(train, self.categorical).collect()}
         # One value per column comes back to the driver.
         self.fill = {r["feature"]: r["median"] for r in medians(train, self.numeric).collect()}
         filled = train.withColumns(imputed(self.numeric, self.fill))
@@ -134,7 +156,7 @@ class Preprocessor:
             row = moments(filled, self.numeric).first()
             self.mean = {c: row[f"mean_{c}"] or 0.0 for c in self.numeric}
             self.std = {c: row[f"std_{c}"] or 1.0 for c in self.numeric}
-        self.levels = stage(encoded_levels(train, self.categorical, self.min_frequency), "levels")
+        self.levels = stage(encoded_levels(train, self.categorical, self.min_frequency, self.category_fill if self.by_type else MISSING), "levels")
         indexed = [f"__i_{c}" for c in self.categorical]
         hot = [f"__h_{c}" for c in self.categorical]
         stages = [
@@ -157,7 +179,7 @@ class Preprocessor:
             known = self.levels.filter(F.col("feature") == c).select(
                 F.col("value").alias("__v"), F.col("label").alias("__label"), "n"
             )
-            keyed = out.withColumn("__v", F.coalesce(F.col(c), F.lit(MISSING)))
+            keyed = out.withColumn("__v", F.coalesce(F.col(c).cast("string"), F.lit(self.category_fill.get(c, MISSING))))
             out = lookup(keyed, known.drop("n"), ["__v"])
             # The indexer refuses blank names, hence the prefix.
             label = F.concat(F.lit("="), F.coalesce("__label", F.lit(UNSEEN)))
@@ -184,3 +206,8 @@ class Preprocessor:
         numbers = json.loads(spark.read.parquet(f"{path}/numbers").first()["numbers"])
         levels = spark.read.parquet(f"{path}/levels")
         return cls(**numbers, levels=levels, encoder=PipelineModel.load(f"{path}/encoder"))
+
+
+def starter_preprocessor() -> Preprocessor:
+    """The first-pass form: kinds by data type, most frequent categories, centred numbers."""
+    return Preprocessor(scale=True, center=True, min_frequency=10, by_type=True)
