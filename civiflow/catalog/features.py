@@ -18,7 +18,7 @@ from civiflow.catalog.inputs import (
 )
 from civiflow.catalog.prepare import labeled
 from civiflow.operators import features, prep, split, tfidf, workload
-from civiflow.plans.staging import stage
+from civiflow.plans.staging import new_path, stage
 
 STATS = ["hour", "day_of_week", "latitude_grid", "longitude_grid", *features.WORKLOAD.values()]
 TRAIN_LANGUAGES = ["en", "fr", "de"]
@@ -73,6 +73,15 @@ def sampled(spark, sf_dir):
     return finish(rows.select("request_id", "city", "created_date", "delayed"))
 
 
+def pooled_files(spark, sf_dir):
+    """The pooled training split through its sorted files: the first and last time of each, by their order."""
+    path = new_path(spark, "pooled")
+    split.write_pooled(split_table(spark, sf_dir), CLIENTS, "train", path)
+    return spark.read.parquet(path).groupBy("city").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("created_date").alias("first"), F.max("created_date").alias("last")
+    )
+
+
 def impute_scale_stats(spark, sf_dir):
     """Median, mean and deviation per numeric feature of the training rows."""
     rows = stage(feature_table(spark, sf_dir), "features")
@@ -130,6 +139,10 @@ QUERIES = {
     "time_split": lambda s, d: finish(split_table(s, d).select("request_id", "city", "created_date", "split")),
     "time_split_summary": lambda s, d: finish(split.split_summary(split_table(s, d))),
     "pooled_split": lambda s, d: finish(split.split_summary(split_table(s, d).filter(F.col("city").isin(CLIENTS)), ["split"])),
+    "pooled_city_rows": lambda s, d: split.pooled_summary(split_table(s, d), CLIENTS).select(
+        "split", "rows", F.explode("city_rows").alias("city", "city_rows")
+    ),
+    "pooled_files": pooled_files,
     "pooled_train_rows": lambda s, d: finish(
         split.pooled(split_table(s, d), CLIENTS, "train").select("request_id", "city", "created_date", "delayed")
     ),
@@ -239,6 +252,10 @@ FROM features GROUP BY city""",
     "time_split": f"WITH {SPLIT_CTES} SELECT request_id, city, created_date, split FROM split",
     "time_split_summary": f"WITH {SPLIT_CTES} SELECT city, split, {_SPLIT_STATS} FROM split GROUP BY city, split",
     "pooled_split": f"WITH {SPLIT_CTES} SELECT split, {_SPLIT_STATS} FROM split WHERE city <> 'EUROPE' GROUP BY split",
+    "pooled_city_rows": f"""WITH {SPLIT_CTES}, n AS (SELECT split, city, count(*) AS city_rows FROM split WHERE city <> 'EUROPE' GROUP BY ALL)
+SELECT split, CAST(sum(city_rows) OVER (PARTITION BY split) AS BIGINT) AS rows, city, city_rows FROM n""",
+    "pooled_files": f"""WITH {SPLIT_CTES}
+SELECT city, count(*) AS rows, min(created_date) AS first, max(created_date) AS last FROM split WHERE split = 'train' GROUP BY city""",
     "pooled_train_rows": f"""WITH {SPLIT_CTES}
 SELECT request_id, city, created_date, delayed FROM split WHERE split = 'train'""",
     "external_hold_out": f"WITH {SPLIT_CTES} SELECT split, count(*) AS n FROM split WHERE city = 'EUROPE' GROUP BY split",

@@ -19,6 +19,7 @@ from civiflow.plans.staging import stage
 DATE_RULES = ["missing_created_date", "missing_closed_date", "closed_before_created"]
 ROW_RULES = ["cancelled_invalid_incomplete_status", "impossible_coordinates"]
 RULE = "__rule"
+DATE_RULE = "__date_rule"
 
 # The duplicate kept is the earliest; the other columns make that order total.
 TIE_ORDER = [
@@ -87,49 +88,53 @@ def _cleaned(valid: DataFrame, min_category_samples: int) -> DataFrame:
     return kept.select(*TARGET_SCHEMA, hours.alias("resolution_hours"))
 
 
+def counted(df: DataFrame, tie_order: list[str] = TIE_ORDER) -> DataFrame:
+    """The rows of ``deduplicated`` with the ``copies`` behind each, from one scan.
+
+    Rows that fail a date rule are counted along, one row per city and rule named
+    in the column ``__date_rule``. Copies are combined before the shuffle.
+    """
+    tagged = tag_date_rule(coerce_types(df)).withColumnRenamed(RULE, DATE_RULE)
+    dated = F.col(DATE_RULE).isNull()
+    rest = [*tie_order, *[c for c in df.columns if c not in (*tie_order, "city", "request_id")]]
+    groups = tagged.groupBy("city", F.when(dated, F.col("request_id")).alias("request_id"), DATE_RULE).agg(
+        F.min(F.when(dated, F.struct(*rest))).alias("row"), F.count(F.lit(1)).alias("copies")
+    )
+    return tag_row_rule(groups.select("city", "request_id", DATE_RULE, "copies", "row.*"))
+
+
 def clean_with_report(df: DataFrame, min_category_samples: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Cleaned requests and their attrition report from one deduplication."""
-    tagged = stage(deduplicated(df), "deduplicated")
-    cleaned = _cleaned(tagged.filter(F.col(RULE).isNull()).drop(RULE), min_category_samples)
-    return cleaned, _report(df, tagged, min_category_samples)
+    """Cleaned requests and their attrition report from one scan of the rows."""
+    rows = stage(counted(df), "counted")
+    passed = rows.filter(F.col(DATE_RULE).isNull() & F.col(RULE).isNull()).drop(DATE_RULE, RULE, "copies")
+    return _cleaned(passed, min_category_samples), _report(rows, min_category_samples)
 
 
 def attrition(df: DataFrame, min_category_samples: int = 100) -> DataFrame:
     """Per city: rows removed by each rule in sequence, and what is left."""
-    return _report(df, deduplicated(df), min_category_samples)
-
+    return _report(counted(df), min_category_samples)
 
-def _report(df: DataFrame, tagged: DataFrame, min_category_samples: int) -> DataFrame:
-    def n_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
-    dates = tag_date_rule(coerce_types(df)).groupBy("city").agg(
-        F.count(F.lit(1)).alias("input_rows"),
-        *[F.count_if(F.col(RULE) == r).alias(r) for r in DATE_RULES],
+def _report(rows: DataFrame, min_category_samples: int) -> DataFrame:
+    # Everything follows from one count table.
+    groups = rows.groupBy("city", "category", DATE_RULE, RULE).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")
     )
-    # Everything after deduplication follows from one count table.
-    groups = tagged.groupBy("city", "category", RULE).agg(F.count(F.lit(1)).alias("n"))
-    passed = F.col(RULE).isNull()
-    rest = groups.groupBy("city").agg(
-        F.sum("n").alias("__distinct"),
-        *[n_where(F.col(RULE) == r).alias(r) for r in ROW_RULES],
-        n_where(passed & (F.col("n") < min_category_samples)).alias("category_lt_100"),
-        n_where(passed & (F.col("n") >= min_category_samples)).alias("output_rows"),
-    )
-    zero = F.lit(0).cast("bigint")
-    joined = lookup(dates, rest, ["city"])
-    dated = F.col("input_rows") - sum((F.col(r) for r in DATE_RULES), zero)
-    after = ["__distinct", *ROW_RULES, "category_lt_100", "output_rows"]
-    filled = joined.withColumns({c: F.coalesce(F.col(c), zero) for c in after})
-    return filled.select(
-        "city",
-        "input_rows",
-        *DATE_RULES,
-        (dated - F.col("__distinct")).alias("duplicate_request_id"),
-        *ROW_RULES,
-        "category_lt_100",
-        "output_rows",
-        (F.col("input_rows") - F.col("output_rows")).alias("total_removed"),
+
+    def total(column: str, condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+
+    dated = F.col(DATE_RULE).isNull()
+    passed = dated & F.col(RULE).isNull()
+    small = F.col("n") < min_category_samples
+    return groups.groupBy("city").agg(
+        F.sum("copies").alias("input_rows"),
+        *[total("copies", F.col(DATE_RULE) == r).alias(r) for r in DATE_RULES],
+        (total("copies", dated) - total("n", dated)).alias("duplicate_request_id"),
+        *[total("n", dated & (F.col(RULE) == r)).alias(r) for r in ROW_RULES],
+        total("n", passed & small).alias("category_lt_100"),
+        total("n", passed & ~small).alias("output_rows"),
+        (F.sum("copies") - total("n", passed & ~small)).alias("total_removed"),
     )
 
 

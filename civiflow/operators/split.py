@@ -54,6 +54,22 @@ def pooled(split: DataFrame, cities: list[str], name: str) -> DataFrame:
     return split.filter((F.col("split") == name) & F.col("city").isin(cities))
 
 
+def write_pooled(split: DataFrame, cities: list[str], name: str, path: str) -> None:
+    """One pooled split as files in the order of time, city and id."""
+    order = ["created_date", "city", "request_id"]
+    rows = pooled(split, cities, name)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
+def pooled_summary(split: DataFrame, cities: list[str]) -> DataFrame:
+    """Per pooled split: rows, time range, label rate and the rows of each city."""
+    rows = split.filter(F.col("city").isin(cities))
+    by_city = split_summary(rows, ["split", "city"]).groupBy("split").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("city", "rows")))).alias("city_rows")
+    )
+    return lookup(split_summary(rows, ["split"]), by_city, ["split"])
+
+
 def split_summary(split: DataFrame, by: list[str] | None = None) -> DataFrame:
     return split.groupBy(*(by or ["city", "split"])).agg(
         F.count(F.lit(1)).alias("rows"),
