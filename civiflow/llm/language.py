@@ -118,24 +118,30 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, rows_per_language: int = 500, windows_per_row: int = 3) -> ByteNet | None:
     """Fit on at most ``rows_per_language`` rows of each language, chosen by a hash of the id.
 
-    Of a chosen row at most ``windows_per_row`` windows, spread over the text, are learned from.
+    Of a chosen row ``windows_per_row`` windows, whose places in the whole text a hash
+    gives, are learned from (one of all of a shorter text).
     """
     known = docs.where(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # Ids first: texts are read for the chosen rows only.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= rows_per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
-    span = WINDOW * 16
-    cut = F.when(F.length("text") > span, F.concat(F.substring("text", 1, span // 2), F.expr(f"substring(text, int(length(text) / 2), {span // 2})"))).otherwise(F.col("text"))
-    # rows_per_language rows of at most 16 windows for each language.
-    sample = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label"))).select("label", cut.alias("text"), "id").collect()
+    hashed = known.select("doc_id", "lang", F.xxhash64(F.lit(3), "doc_id").alias("hash"))
+    counts = hashed.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    # The lowest hashes, about twice the rows wanted of a language, hold those that are taken.
+    share = F.col("hash").bitwiseAND(2**30 - 1) / F.lit(2.0**30)
+    low = hashed.withColumn("share", share).join(counts, F.col("lang") == F.col("of")).where(F.col("share") * F.col("n") < 2 * rows_per_language + 50)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("share", "hash", "doc_id"))
+    chosen = low.withColumn("rank", rank).where(F.col("rank") <= rows_per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    free = F.greatest(F.length("text") - WINDOW, F.lit(0))
+    place = lambda k: (F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(2**30)) / F.lit(2.0**30) * (free + 1)).cast("int") + 1
+    drawn = F.array_distinct(F.array(*[F.substring(F.col("text"), place(k), F.lit(WINDOW)) for k in range(windows_per_row)]))
+    # rows_per_language rows of windows_per_row windows for each language.
+    sample = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label"))).select("label", drawn.alias("windows"), "id").collect()
     if not sample:
         return None
-    sample.sort(key=lambda r: (r["label"], r["id"], r["text"]))
+    sample.sort(key=lambda r: (r["label"], r["id"], r["windows"]))
     languages = sorted({r["label"] for r in sample})
-    rng, parts, labels = np.random.default_rng(4), [], []
+    parts, labels = [], []
     for r in sample:
-        x, _ = windows_of([r["text"].encode()])
-        x = x[rng.permutation(len(x))[:windows_per_row]]
+        x, _ = windows_of([w.encode()[:WINDOW] for w in r["windows"]])
         parts.append(x)
         labels += [languages.index(r["label"])] * len(x)
     return ByteNet(languages).fit(np.concatenate(parts), np.array(labels))

@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 # Private-use characters stand for a separator between two digits and for a dot
 # between two label characters, so that runs become plain character classes.
 SEP, DOT = "\ue000", "\ue001"
+# Takes their place where a text has them itself; it is in no class of any pattern.
+OTHER = "\ue002"
 
 # Fixed values of the gazetteers and cues.
 DOMAINS = r"\.(com|org|net|edu|gov|io|de|fr|es|uk|it|eu|info|example)$"
@@ -44,6 +46,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9][0-9{SEP}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOOSE_EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,64} ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z]{2,10}\b"
+LOOSE_IP = r"(?<![0-9.\])])[0-9]{1,3}(?: ?[(\[]\.[)\]] ?| \. )[0-9]{1,3}(?: ?[(\[]\.[)\]] ?| \. |\.)[0-9]{1,3}(?: ?[(\[]\.[)\]] ?| \. |\.)[0-9]{1,3}(?![0-9.])"
+LOOSE_CARD = r"(?<![0-9._/])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9._/])"
 LOOSE_PHONE = r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 
 
@@ -88,7 +92,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and all candidate spans of each whole text."""
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     has = lambda pattern: F.col("t").rlike(pattern)
-    plain = F.translate("t", SEP + DOT, "xx")
+    plain = F.translate("t", SEP + DOT, OTHER * 2)
     marked = raw.withColumns(
         {
             "te": F.when(F.contains("t", F.lit("@")), F.regexp_replace(plain, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)).otherwise(""),
@@ -97,9 +101,11 @@ def candidates(docs: DataFrame) -> DataFrame:
             "tp": F.when(has(r"\+[0-9]"), F.col("t")).otherwise(""),
             "tl": F.when(has(r"[(\[](at|AT)[)\]]"), F.col("t")).otherwise(""),
             "tn": F.when(has("[0-9]{3}[ .-][0-9]{4}"), F.col("t")).otherwise(""),
+            "td": F.when(has(r"[0-9] ?[(\[]\.[)\]]|[0-9] \. [0-9]"), F.col("t")).otherwise(""),
+            "ts": F.when(has("[0-9]{4}[._/][0-9]{4}[._/]"), F.col("t")).otherwise(""),
         }
     ).drop("t")
-    patterns = (("email", "te", EMAIL), ("ip", "ti", IP), ("card", "tc", CARD), ("phone", "tp", PHONE), ("mail2", "tl", LOOSE_EMAIL), ("phone2", "tn", LOOSE_PHONE))
+    patterns = (("email", "te", EMAIL), ("ip", "ti", IP), ("card", "tc", CARD), ("phone", "tp", PHONE), ("mail2", "tl", LOOSE_EMAIL), ("phone2", "tn", LOOSE_PHONE), ("ip2", "td", LOOSE_IP), ("card2", "ts", LOOSE_CARD))
     cut = marked.select(
         "doc_id",
         *[F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias(f"m_{n}") for n, t, p in patterns],
@@ -123,6 +129,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     groups = [candidate(k, True, checks[k], valid[k]) for k in KINDS]
     groups.append(candidate("email", False, lambda v: v.rlike(r"(?i)(com|org|net|edu|example)$"), F.col("mail2")))
     groups.append(candidate("phone", False, checks["phone"], F.col("phone2")))
+    octets = F.filter("ip2", lambda s: F.forall(F.regexp_extract_all(s["value"], F.lit("[0-9]+"), F.lit(0)), lambda p: p.rlike(octet)))
+    groups.append(candidate("ip", False, lambda v: v.rlike(r"^(10|172|192|8)[^0-9]"), octets))
+    numbers = F.filter("card2", lambda s: F.call_function("luhn_check", digits(s["value"])))
+    groups.append(candidate("card", False, lambda v: digits(v).rlike(ISSUERS), numbers))
     return spans.select("doc_id", F.concat(*groups).alias("spans"))
 
 

@@ -19,6 +19,7 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyarrow import fs
@@ -29,6 +30,8 @@ from civiflow.plans.joins import lookup
 from civiflow.plans.staging import new_path, stage
 
 END = "\r\n\r\n"
+# Fixed value of the format.
+PROFILE = "http://netpreservation.org/warc/1.0/revisit/identical-payload-digest"
 LEAST = 100
 GAP = 64 * 1024
 RUN = 16 * 1024 * 1024
@@ -54,19 +57,27 @@ def decided(pages: DataFrame) -> DataFrame:
     marks = again.groupBy(*key).agg(F.count("*").alias("times"), F.first(is_first).alias("is_first"), F.first("first.page_id").alias("first_id"))
     marks = stage(marks.where("not is_first or times > 1"), "revisits")
     joined = lookup(rows, marks, key)
-    # Fully repeated rows are told apart by a number; only they are sorted together.
-    single = joined.where("times is null or not is_first").withColumn("place", F.lit(1))
-    several = joined.where("times is not null and is_first").withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
-    both = single.unionByName(several)
-    revisit = F.coalesce(~F.col("is_first"), F.lit(False)) | (F.col("place") > 1)
-    return both.select(*key, "html", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first_id")).alias("refers_to"))
-
-
-def record(page_id: int | None, url: str, html: str, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """The bytes of one record."""
-    full = html.encode()
-    payload = b"" if kind == "revisit" else full
-    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(full)}"]
+    size = F.octet_length("html").alias("size")
+    single = joined.where("times is null or not is_first")
+    revisit = F.col("is_first").isNotNull()
+    made = single.select(*key, F.when(~revisit, F.col("html")).otherwise("").alias("html"), size, F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    # Of fully repeated rows one payload a task moves on; the others become revisits as narrow
+    # rows, all but the first one in the least of their partitions.
+    several = joined.where("times is not null and is_first")
+    kept = several.groupBy(*key).agg(F.first("html").alias("html")).select(*key, "html", size, F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"))
+    narrow = stage(several.select(*key, size, "first_id", F.spark_partition_id().alias("part")), "repeated")
+    least = narrow.groupBy(*key).agg(F.min("part").alias("least"))
+    place = F.row_number().over(Window.partitionBy(*key, "part").orderBy(F.lit(1)))
+    others = lookup(narrow.withColumn("place", place), least, key).where("part <> least or place > 1")
+    return made.unionByName(kept).unionByName(others.select(*key, F.lit("").alias("html"), "size", F.lit("revisit").alias("kind"), F.col("first_id").alias("refers_to")))
+
+
+def record(page_id: int | None, url: str, html: str, size: int, digest: str, kind: str, refers_to: int | None, date: str) -> bytes:
+    """The bytes of one record; ``size`` is that of the full payload, which revisits leave out."""
+    payload = b"" if kind == "revisit" else html.encode()
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {size}", "Content-Type: text/html; charset=utf-8"]
+    if kind == "revisit":
+        head.append(f"WARC-Profile: {PROFILE}")
     if refers_to is not None:
         head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
     head.append(f"Content-Length: {len(payload)}")
@@ -86,6 +97,7 @@ def write(pages: DataFrame, path: str) -> DataFrame:
     whole = lambda x: None if pd.isna(x) else int(x)
 
     def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
         out, name, offset = None, f"{path}/archives/{uuid.uuid4().hex}.warc.gz", 0
         try:
             for batch in batches:
@@ -95,7 +107,7 @@ def write(pages: DataFrame, path: str) -> DataFrame:
                     out = store.open_output_stream(inner, compression=None)
                 index = []
                 for r in batch.itertuples(index=False):
-                    data = gzip.compress(record(whole(r.page_id), r.url, r.html, r.digest, r.kind, whole(r.refers_to)), LEVEL, mtime=0)
+                    data = gzip.compress(record(whole(r.page_id), r.url, r.html, int(r.size), r.digest, r.kind, whole(r.refers_to), date), LEVEL, mtime=0)
                     out.write(data)
                     index.append((name, offset, len(data), whole(r.page_id), r.url, r.digest))
                     offset += len(data)
@@ -147,6 +159,8 @@ def read(selected: DataFrame) -> DataFrame:
         for batch in batches:
             for path, rows in batch.groupby("path", sort=False):
                 if path != name:
+                    if file is not None:
+                        file.close()
                     store, inner = opened(path)
                     name, file = path, store.open_input_file(inner)
                 for start, end, run in ranges(rows):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from civiflow.llm import encoding, hard_negatives, substring_dedup, token_files, vector_codes
+from civiflow.llm import encoding, hard_negatives, pii, substring_dedup, token_files, vector_codes, warc
 
 from .conftest import ROWS
 
@@ -202,3 +202,56 @@ def test_chosen_documents_and_footers(spark, docs, tmp_path):
             assert "DELTA_BINARY_PACKED" in ids.encodings and columns["doc_id"].has_column_index and ids.has_offset_index
             groups += 1
     assert groups
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(number):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(number))) % 10 == 0
+
+
+def base_spans(text):
+    """Spans of the base rule as (start, kind, end)."""
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": lambda: True,
+                "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda: 14 <= len(digits) <= 19 and luhn(digits),
+                "phone": lambda: 10 <= len(digits) <= 15,
+            }[kind]()
+            if good:
+                out.append((m.start(), list(BASE).index(kind), m.end()))
+    return sorted(out)
+
+
+def test_base_spans_of_whole_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = [(-1, "\ue001info@site.com x \ue000a@b.c\ue001"), (-2, "1\ue0002 4111\ue0001111 1111 1111 1.2\ue001.3.4"), (-3, "ip 10[.]1[.]2[.]3 card 4111.1111.1111.1111 x")]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for i, text in texts.items():
+        assert [(s.start, s.kind, s.stop) for s in found[i].spans if s.base] == base_spans(text), text[:200]
+    loose = {r.doc_id: [s.kind for s in r.spans] for r in pii.candidates(docs.where("doc_id = -3")).collect()}
+    assert sorted(loose[-3]) == [1, 2]
+
+
+def test_archives_of_repeated_rows_have_valid_records(spark):
+    html = "<html>" + "y" * 200
+    pages = [(1, "u", html)] * 50 + [(2, "u", html), (3, "v", "short"), (3, "v", "short")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    rows = warc.round_trip(spark, table).collect()
+    assert len(rows) == len(pages) and sum(r.record_type == "response" for r in rows) == 3
+    assert {(r.page_id, r.refers_to, r.payload_bytes) for r in rows if r.record_type == "revisit"} == {(1, 1, 206), (2, 1, 206)}
+    head = warc.record(2, "u", "", 206, "d", "revisit", 1, "2024-01-01T00:00:00Z").decode().split("\r\n\r\n")[0]
+    names = [line.split(": ")[0] for line in head.split("\r\n")[1:]]
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type", "WARC-Profile"} <= set(names)
