@@ -9,8 +9,7 @@ lengthened by one component to equal norm, so that the largest inner product is
 the least distance.
 
 Vectors that are null, zero, empty or hold null or non-finite components take no
-part, nor do rows without id; vectors of another length than the most common one
-raise no error but are left out. Ties go to the smaller id; repeated rows are
+part, nor do rows without id; vectors of several lengths raise an error. Ties go to the smaller id; repeated rows are
 separate candidates, but never candidates of their own id. An empty table gives
 an empty result; other columns are ignored.
 """
@@ -41,8 +40,10 @@ def usable(table: DataFrame) -> DataFrame:
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return rows.where(F.size("v") == (width["w"] if width else 0))
+    low, high = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} to {high} components; all must be of one length")
+    return rows
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, largest: float, k: int, share: float) -> Iterator[tuple[np.ndarray, ...]]:
@@ -81,7 +82,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, quer
         # Rough scores of the candidates, then exact ones of all that can be among the k best.
         rough = small[picked] @ queries[q].astype(np.float32)
         if len(picked) > k:
-            error = 1e-5 * np.sqrt(largest) * np.sqrt((queries[q] ** 2).sum())
+            error = 2.4e-7 * (vectors.shape[1] + 2) * np.sqrt(largest) * np.sqrt((queries[q] ** 2).sum())
             picked = picked[rough >= np.partition(rough, -k)[-k] - error]
         score = (vectors[picked] * queries[q]).cumsum(1)[:, -1]
         best = np.lexsort((ids[picked], -score))[:k]
@@ -102,8 +103,12 @@ def search(table: DataFrame, k: int = 20, every: int = 20, share: float = SHARE)
     vectors = stage(blocked(rows, "b", blocks), "vector_blocks")
     query_blocks = max(1, -(-blocks // every))
     queries = stage(blocked(rows.where(F.col("vec_id") % every == 0), "q", query_blocks), "query_blocks")
-    # Each vector block meets each block of the stated queries.
-    pairs = vectors.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("q", F.col("q").cast("long")).repartition(blocks * query_blocks, "b", "q")
+    # Each vector block meets each block of the stated queries, which go once to every stripe of vector blocks.
+    stripes = min(blocks, 2 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pair = lambda q, stripe: (q * F.lit(stripes) + stripe).cast("long").alias("pair")
+    met = vectors.select("*", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("to")).select("b_ids", "b_v", pair(F.col("to"), F.col("b") % stripes))
+    asked = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("to")).select("q_ids", "q_v", pair(F.col("q"), F.col("to")))
+    tasks = query_blocks * stripes
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -115,6 +120,6 @@ def search(table: DataFrame, k: int = 20, every: int = 20, share: float = SHARE)
                     a, b, c = (np.concatenate(x) for x in zip(*found))
                     yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
-    hits = pairs.join(queries, "q").mapInPandas(work, OUT)
+    hits = met.repartition(tasks, "pair").join(asked.repartition(tasks, "pair"), "pair").mapInPandas(work, OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -56,8 +56,10 @@ def test_neighbours_recall_and_scores(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(3000, 24))
     rows = [(i, [float(x) for x in a]) for i, a in enumerate(v)]
-    odd = [(4000, None), (4020, []), (4040, [0.0] * 24), (4060, [float("nan")] * 24), (4080, [1.0]), (None, rows[0][1]), (4100, [None] * 24)]
+    odd = [(4000, None), (4020, []), (4040, [0.0] * 24), (4060, [float("nan")] * 24), (None, rows[0][1]), (4100, [None] * 24)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").selectExpr("*", "1 as v", "2 as rank")
+    with pytest.raises(ValueError):
+        neighbours.search(df.unionByName(spark.createDataFrame([(4080, [1.0], 1, 2)], df.schema)))
     found = {}
     for r in neighbours.search(df).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from civiflow.llm import encoding, hard_negatives, pii, substring_dedup, token_files, vector_codes, warc
+from civiflow.llm import encoding, hard_negatives, mixing, pii, substring_dedup, token_files, vector_codes, warc
+
+from civiflow.plans.staging import stage
 
 from .conftest import ROWS
+from .test_documents import brute_classes
 
 
 def brute_kept(rows, width=substring_dedup.WINDOW):
@@ -255,3 +259,55 @@ def test_archives_of_repeated_rows_have_valid_records(spark):
     head = warc.record(2, "u", "", 206, "d", "revisit", 1, "2024-01-01T00:00:00Z").decode().split("\r\n\r\n")[0]
     names = [line.split(": ")[0] for line in head.split("\r\n")[1:]]
     assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type", "WARC-Profile"} <= set(names)
+
+
+def test_targets_share_the_excess_by_weight(docs, spark):
+    rows = mixing.mix(docs).collect()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r.source, r.source_size)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    assert sum(sizes.values()) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", x[1] or "")) for x in ROWS)
+    left, targets, free = 1.5 * sum(sizes.values()), {}, set(order)
+    while free:
+        level = left / sum(weights[s] for s in free)
+        full = {s for s in free if weights[s] * level > 2 * sizes[s]}
+        targets.update({s: 2.0 * sizes[s] for s in full} or {s: weights[s] * level for s in free})
+        left -= sum(2 * sizes[s] for s in full)
+        free = free - full if full else set()
+    for r in rows:
+        assert r.target == pytest.approx(targets[r.source], abs=1e-6)
+
+
+def test_pipeline_stage_by_stage(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(cp.STAGES)
+    known = stage(stages["language_id"](spark, docs, sf), "t1")
+    assert known.columns == docs.columns
+    dropped = docs.join(known, "doc_id", "left_anti").select("text").collect()
+    assert known.count() >= 0.9 * docs.where(F.col("lang").isNotNull()).count() and all(r.text is None or len(r.text) < 2000 for r in dropped)
+    once = stage(stages["exact_dedup"](spark, known, sf), "t2")
+    best = {}
+    for r in known.collect():
+        key = re.sub(r"[\x20\x09-\x0D]", "", r.text or "")
+        best[key] = min(best.get(key, (1, 0)), (-len(r.text or ""), r.doc_id))
+    assert sorted(r.doc_id for r in once.collect()) == sorted(i for _, i in best.values())
+    apart = stage(stages["ngram_join"](spark, once, sf), "t3")
+    classes = brute_classes([tuple(r) for r in once.select("doc_id", "text").collect()])
+    assert sorted(r.doc_id for r in apart.collect()) == sorted(min(map(int, c)) for c in classes)
+    mix = stage(stages["mix_sources"](spark, apart, sf), "t4")
+    taken = {r.doc_id: r["count"] for r in mix.groupBy("doc_id").count().collect()}
+    assert mix.columns == docs.columns and set(taken) <= {r.doc_id for r in apart.collect()} and max(taken.values()) <= 2
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in mix.collect()}
+    pieces = stages["packing"](spark, mix, sf).collect()
+    length = {}
+    for r in pieces:
+        cut = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(cut.tobytes()) and len(cut) == r.length
+        length[r.doc_id] = length.get(r.doc_id, 0) + r.length
+    assert length == {i: len(ids[i]) * n for i, n in taken.items()}
