@@ -109,11 +109,12 @@ def strings(words: pa.Array) -> list[str]:
 def gathered(table: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the entries ``index`` of the table, end to end, and the number of each."""
     flat = np.frombuffer(b"".join(table), "<u4")
-    size = np.fromiter(map(len, table), np.int64, len(table)) // 4
-    start = np.cumsum(size) - size
+    # A block has far fewer than 2^31 ids.
+    size = np.fromiter(map(len, table), np.int32, len(table)) // 4
+    start = np.cumsum(size, dtype=np.int32) - size
     n = size[index]
-    begin = np.cumsum(n) - n
-    return flat[np.repeat(start[index] - begin, n) + np.arange(n.sum())], n
+    begin = np.cumsum(n, dtype=np.int32) - n
+    return flat[np.repeat(start[index] - begin, n) + np.arange(n.sum(), dtype=np.int32)], n
 
 
 class Encoder:

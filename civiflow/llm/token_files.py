@@ -54,7 +54,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end: in
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2).cast(pa.int32()), pa.array(np.arange(at, at + len(rows))), pa.array(counts), lists], schema=kinds)
                 at += len(rows)
 
-    writer = ordered.mapInArrow(tokens, SCHEMA).write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("compression", "zstd")
+    writer = ordered.mapInArrow(tokens, SCHEMA).write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
     # The second version of the format is what has delta encoding.
     writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#ids.list.element", "false").parquet(path)
 
