@@ -5,7 +5,8 @@ are dictionary-encoded, and only words not met before go through the tokenizer;
 the ids of a block are then gathered by NumPy. Ids are those of the whole text.
 
 A Python worker keeps the tokenizer and the ids of words from task to task: words
-of at most LONGEST characters, in two generations of STORE bytes together. Longer
+of at most LONGEST characters, in two generations of STORE bytes together. They go
+when no task has encoded for IDLE seconds, so other stages have the memory. Longer
 pieces, such as texts without spaces, are encoded each time.
 """
 
@@ -14,6 +15,8 @@ from __future__ import annotations
 import os
 import re
 import sys
+import threading
+import time
 import types
 from array import array
 from collections.abc import Iterator
@@ -26,6 +29,7 @@ from tokenizers import Tokenizer
 BLOCK = 6 * 1024 * 1024
 STORE = 160 * 1024 * 1024
 LONGEST = 64
+IDLE = 6
 # Bytes of a stored word besides its characters and ids.
 ENTRY = 200
 
@@ -60,11 +64,25 @@ spaced, bare = Spaced(), Bare()
 
 
 def kept(key, make):
-    """``make()`` once in the life of a Python worker, which serves many tasks."""
-    store = sys.modules.setdefault("civiflow_worker_store", types.ModuleType("civiflow_worker_store")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    """``make()`` once for the tasks that a Python worker serves, until none has encoded for IDLE seconds."""
+    store = sys.modules.setdefault("civiflow_worker_store", types.ModuleType("civiflow_worker_store"))
+    things = store.__dict__.setdefault("things", {})
+    store.touched = time.monotonic()
+    if not things:
+
+        def watch() -> None:
+            while time.monotonic() - store.touched < IDLE:
+                time.sleep(1)
+            things.clear()
+
+        threading.Thread(target=watch, daemon=True).start()
+    if key not in things:
+        things[key] = make()
+    return things[key]
+
+
+def touch() -> None:
+    sys.modules["civiflow_worker_store"].touched = time.monotonic()
 
 
 def load(path: str) -> Tokenizer:
@@ -136,6 +154,7 @@ class Encoder:
             i = j
 
     def block(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        touch()
         if not self.chunks.lead:
             return self.plain(pc.replace_substring(texts, "\n", " "))
         odd = pc.match_substring_regex(texts, ODD)
