@@ -138,8 +138,8 @@ def gathered(table: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Encoder:
     """Ids of whole texts with the end id, by one of the two rules for chunks."""
 
-    def __init__(self, path: str, chunks: Spaced | Bare, end: int, store: int = STORE):
-        self.chunks, self.end = chunks, end
+    def __init__(self, path: str, chunks: Spaced | Bare, end: int, store: int = STORE, block_bytes: int = BLOCK):
+        self.chunks, self.end, self.block_bytes = chunks, end, block_bytes
         tokenizer = kept(("tokenizer", path), lambda: load(path))
         self.store = kept(("store", path, store), lambda: Store(tokenizer, store))
 
@@ -149,7 +149,7 @@ class Encoder:
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
         i = 0
         while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK, "right")))
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + self.block_bytes, "right")))
             yield from self.block(texts.slice(i, j - i))
             i = j
 

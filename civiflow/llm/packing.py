@@ -26,6 +26,9 @@ from civiflow.plans.staging import stage
 
 LENGTH = 2048
 OPEN = 64
+# Less memory for words than by default, as packing follows other stages in a pipeline.
+STORE = 64 * 1024 * 1024
+BLOCK = 3 * 1024 * 1024
 MERGE = 64
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 PIECE = ", ".join(f"{c} long" for c in COLUMNS) + ", open boolean"
@@ -63,7 +66,7 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 1, length: int = L
     schema = pa.schema([(n, pa.bool_() if n == "open" else pa.int64()) for n in (*COLUMNS, "open")])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows, number = Encoder(path, bare, end), Windows(length, limit), 0
+        encode, windows, number = Encoder(path, bare, end, STORE, BLOCK), Windows(length, limit), 0
 
         def rows(window: list, still_open: bool) -> list[tuple]:
             nonlocal number
