@@ -2,15 +2,24 @@
 
 Words are runs of anything but ASCII white space, in lower case; a document is
 the set of its runs of five words (of all its words, if fewer). Each of TREES
-prefix tries orders the documents by minhash values. A prefix of DEPTH values
-finds a pair of similarity 0.8 in some tree with probability
-1 - (1 - 0.8^5)^20 = 0.9996, the target recall. Every pair that shares such a
-prefix in some tree is verified exactly, in the first tree where it does: as a
-row of its own where at most SMALL documents share the prefix, else inside
-blocks of about CELL documents, each block against each. A crowd above CELL is
-cut by set size first, and blocks whose sizes rule out the similarity do not
-meet. The blocks return link counts and roots, not pairs; their work still grows
-with the square of a crowd.
+prefix tries orders the documents by DEPTHS[0] minhash values, one byte a value.
+
+The join starts with the longest prefixes: documents that share one in some tree
+are verified exactly. The similarities of the links found so far tell how many
+links prefixes of that length miss, as a link of similarity s is found at depth d
+with probability p = 1 - (1 - s^d)^TREES and so stands for 1 / p links. While the
+links found are less than TARGET of those, the matched prefixes are shortened to the
+next depth and the pairs that these add are verified; without links the similarity
+asked for counts. The last depth finds a pair of similarity 0.8 with probability 0.9996.
+Only documents that share a prefix of the last depth ever enter a round.
+
+A pair is verified once, at its longest shared prefix and in the first tree with
+that: as a row of its own where at most SMALL documents share the prefix, else
+inside blocks of about CELL documents, each block against each. A crowd above CELL
+is cut by set size first, and blocks whose sizes rule out the similarity do not
+meet. Blocks first see keys alone; word sets are sent only to the blocks where a
+document has pairs left to verify. They return link counts and roots, not pairs;
+their work still grows with the square of a crowd.
 
 Documents with the same words are one node. Documents without words, null texts
 included, are one such node and link to nothing. Ids may be null or repeated;
@@ -22,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +46,9 @@ from civiflow.plans.staging import stage
 WORDS = 5
 SIMILAR = 0.8
 TREES = 20
-DEPTH = 5
+# Lengths of the prefixes, longest first, and the share of links at which shortening ends.
+DEPTHS = (8, 6, 5)
+TARGET = 0.9999
 # Prefixes of more documents are compared block by block, not by rows of pairs.
 SMALL = 16
 CELL = 512
@@ -44,8 +56,8 @@ BLOCK = 2048
 COLUMNS = 4096
 
 _random = np.random.default_rng(11)
-FACTORS = _random.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
-SHIFTS = _random.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
+FACTORS = _random.integers(0, 2**32, TREES * DEPTHS[0], dtype=np.uint32) | np.uint32(1)
+SHIFTS = _random.integers(0, 2**32, TREES * DEPTHS[0], dtype=np.uint32)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,21 +87,38 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def prefixes(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per tree, of the tree's values."""
-    values = sig.reshape(TREES, DEPTH).astype(np.uint64)
-    key = mixed(np.arange(1, TREES + 1, dtype=np.uint64) * MULTIPLIER)
-    for d in range(DEPTH):
-        key = mixed(key * MULTIPLIER + values[:, d])
+def trie_keys(sig: np.ndarray) -> np.ndarray:
+    """Place of a signature in each tree: one byte a value, the first value highest."""
+    levels = mixed(sig.reshape(TREES, DEPTHS[0]).astype(np.uint64) * MULTIPLIER) >> np.uint64(56)
+    key = np.zeros(TREES, np.uint64)
+    for d in range(DEPTHS[0]):
+        key = (key << np.uint64(8)) | levels[:, d]
     return key.view(np.int64)
 
 
+def cut(depth: int) -> int:
+    """Bits of a key below a prefix of ``depth`` values."""
+    return 8 * (DEPTHS[0] - depth)
+
+
+def prefixes(sig: np.ndarray, depth: int = DEPTHS[-1]) -> np.ndarray:
+    """One 64-bit number per tree, of the tree's prefix of ``depth`` values."""
+    short = trie_keys(sig).view(np.uint64) >> np.uint64(cut(depth))
+    return mixed(mixed(short + MULTIPLIER) * MULTIPLIER + np.arange(1, TREES + 1, dtype=np.uint64)).view(np.int64)
+
+
+def recall(similarities: dict[int, int], depth: int, least: float) -> float:
+    """Share of links found with prefixes of ``depth``, by the number of those found of each hundredth of similarity."""
+    found = {max(s / 100, least): n for s, n in similarities.items()} or {least: 1}
+    return sum(found.values()) / sum(n / (1 - (1 - s**depth) ** TREES) for s, n in found.items())
+
+
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
 def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Digest of the words; set size and prefix keys of documents with words."""
+    """Digest of the words; set size and trie keys of documents with words."""
     for batch in batches:
         digests, sizes, keys = [], [], []
         for text in batch["whole_text"]:
@@ -97,7 +126,7 @@ def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = shingles(words)
             digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else "")
             sizes.append(len(found))
-            keys.append(prefixes(signature(found)) if words else None)
+            keys.append(trie_keys(signature(found)) if words else None)
         yield batch.drop(columns="whole_text").assign(digest=digests, size=sizes, keys=keys)
 
 
@@ -106,15 +135,23 @@ def shingle_set(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(words_of(t)).view(np.int64) for t in texts])
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) with the first tree of a small shared prefix, and the members of crowded ones."""
-    rows = nodes.select("node", "size", F.posexplode("keys").alias("tree", "key"))
-    groups = stage(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
-    shared = rows.join(groups, "key")
+def shared_prefixes(rows: DataFrame, depth: int) -> DataFrame:
+    """``rows`` (node, size, tree, trie) that share a prefix of ``depth`` values, with its key and their number n."""
+    keyed = rows.withColumn("key", F.xxhash64("tree", F.shiftrightunsigned("trie", cut(depth))))
+    groups = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
+    return keyed.join(groups, "key")
+
+
+def listed_pairs(shared: DataFrame, depth: int, deeper: int | None) -> DataFrame:
+    """Pairs (a < b) whose common prefix in some tree ends between two depths, with the first such tree; small groups only."""
     # Lists hold SMALL members at most.
-    lists = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.first("tree").alias("tree"), F.collect_list("node").alias("m"))
-    pairs = lists.select("tree", F.explode("m").alias("a"), "m").select("tree", "a", F.explode("m").alias("b")).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.min("tree").alias("tree")), shared.where(F.col("n") > SMALL)
+    lists = shared.where(F.col("n") <= SMALL).groupBy("key", "tree").agg(F.collect_list(F.struct("node", "trie")).alias("m"))
+    pairs = lists.select("tree", F.explode("m").alias("x"), "m").select("tree", "x", F.explode("m").alias("y")).where("x.node < y.node")
+    differ = F.col("x.trie").bitwiseXOR(F.col("y.trie"))
+    pairs = pairs.where(F.shiftrightunsigned(differ, cut(depth)) == 0)
+    if deeper:
+        pairs = pairs.where(F.shiftrightunsigned(differ, cut(deeper)) != 0)
+    return pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min("tree").alias("tree"))
 
 
 def dealt(crowded: DataFrame, least: float) -> DataFrame:
@@ -178,30 +215,58 @@ def roots(linked: np.ndarray) -> np.ndarray:
     return out
 
 
-def compared(least: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Number of links and root of each member of two blocks, over the pairs that share no earlier prefix."""
+def due(keys_a: np.ndarray, keys_b: np.ndarray, alone: bool, tree: int, depth: int, deeper: int | None) -> np.ndarray:
+    """Which pairs of two blocks are to be verified here: no longer shared prefix in any tree, no equal one in an earlier tree."""
+    out = np.triu(np.ones((len(keys_a),) * 2, bool), 1) if alone else np.ones((len(keys_a), len(keys_b)), bool)
+    for t in range(TREES):
+        differ = keys_a[:, t, None] ^ keys_b[None, :, t]
+        if deeper:
+            out &= differ >> np.uint64(cut(deeper)) != 0
+        if t <= tree:
+            out &= (differ >> np.uint64(cut(depth)) == 0) == (t == tree)
+    return out
+
+
+def two_sides(at: tuple, rows: pd.DataFrame) -> tuple[bool, list[pd.DataFrame], list[np.ndarray]]:
+    """Whether a block meets itself, the rows of both blocks, and their keys."""
+    alone = at[2:4] == at[4:6]
+    sides = [rows[rows["side"] == side] for side in ((0, 0) if alone else (0, 1))]
+    return alone, sides, [np.stack(list(x["keys"])).view(np.uint64) if len(x) else np.zeros((0, TREES), np.uint64) for x in sides]
+
+
+def waiting(depth: int, deeper: int | None) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The rows of two blocks that have pairs to be verified there."""
+
+    def wait(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        alone, sides, keys = two_sides(at, rows)
+        mine = due(*keys, alone, at[1], depth, deeper)
+        stay = [mine.any(1) | mine.any(0)] if alone else [mine.any(1), mine.any(0)]
+        return pd.concat([x[y] for x, y in zip(sides, stay)]).drop(columns="keys")
+
+    return wait
+
+
+def compared(least: float, depth: int, deeper: int | None) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Number of links and root of each member of two blocks; rows without node count links by hundredth of similarity."""
 
     def compare(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, tree, *blocks = at
-        alone = blocks[:2] == blocks[2:]
-        sides = [rows[rows["side"] == side] for side in ((0, 0) if alone else (0, 1))]
-        linked = np.zeros((len(rows), len(rows)), bool)
-        if all(map(len, sides)):
-            (keys_a, keys_b), (sets_a, sets_b) = ([list(x[c]) for x in sides] for c in ("keys", "s"))
-            keys_a, keys_b = np.stack(keys_a), np.stack(keys_b)
-            mine = np.triu(np.ones((len(sets_a),) * 2, bool), 1) if alone else np.ones((len(sets_a), len(sets_b)), bool)
-            for t in range(tree):
-                mine &= keys_a[:, t, None] != keys_b[None, :, t]
-            x, y = np.flatnonzero(mine.any(1)), np.flatnonzero(mine.any(0))
-            if len(x):
-                common = common_counts([sets_a[k] for k in x], [sets_b[k] for k in y]).astype(np.float64)
-                sizes = [np.array([len(s) for s in sets]) for sets in (sets_a, sets_b)]
-                similar = common >= least * (sizes[0][x][:, None] + sizes[1][y][None, :] - common)
-                linked[np.ix_(x, y if alone else y + len(sets_a))] = similar & mine[np.ix_(x, y)]
-                linked |= linked.T
+        alone, sides, keys = two_sides(at, rows)
+        mine = due(*keys, alone, at[1], depth, deeper)
+        linked, counts = np.zeros((len(rows), len(rows)), bool), np.zeros(101, np.int64)
+        x, y = np.flatnonzero(mine.any(1)), np.flatnonzero(mine.any(0))
+        if len(x):
+            sets_a, sets_b = ([s[k] for k in z] for s, z in zip((list(side["s"]) for side in sides), (x, y)))
+            common = common_counts(sets_a, sets_b).astype(np.float64)
+            either = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b])[None, :] - common
+            similar = (common >= least * either) & mine[np.ix_(x, y)]
+            counts = np.bincount((100 * common[similar] / either[similar]).astype(int), minlength=101)
+            linked[np.ix_(x, y if alone else y + len(sides[0]))] = similar
+            linked |= linked.T
         node = np.concatenate([x["node"].to_numpy(np.int64) for x in (sides[:1] if alone else sides)])
-        out = pd.DataFrame({"node": node, "root": node[roots(linked)], "n": linked.sum(1).astype(np.int64)})
-        return out[out["n"] > 0]
+        out = pd.DataFrame({"node": pd.array(node, "Int64"), "root": node[roots(linked)], "n": linked.sum(1).astype(np.int64)})
+        classes = np.flatnonzero(counts)
+        spread = pd.DataFrame({"node": pd.array([None] * len(classes), "Int64"), "root": classes, "n": counts[classes]})
+        return pd.concat([out[out["n"] > 0], spread])
 
     return compare
 
@@ -226,6 +291,32 @@ def components(edges: DataFrame) -> DataFrame:
         e = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
 
 
+def verified(shared: DataFrame, sets: DataFrame, least: float, depth: int, deeper: int | None, seen: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs looked at, links (a, b, similarity) and counts of the blocks of one round."""
+    shared = stage(shared, "shared")
+    pairs = listed_pairs(shared, depth, deeper)
+    if seen is not None:
+        pairs = pairs.join(seen, ["a", "b"], "left_anti")
+    pairs = stage(pairs, "pairs")
+    first = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa", "keys": "ka"}), "a")
+    joined = first.join(sets.withColumnsRenamed({"node": "b", "s": "sb", "keys": "kb"}), "b")
+    differ = F.zip_with("ka", "kb", lambda x, y: x.bitwiseXOR(y))
+    # Pairs of a longer prefix, or of a crowded one in an earlier tree, are compared there.
+    elsewhere = F.exists(F.slice(differ, 1, F.col("tree")), lambda x: F.shiftrightunsigned(x, cut(depth)) == 0)
+    if deeper:
+        elsewhere |= F.exists(differ, lambda x: F.shiftrightunsigned(x, cut(deeper)) == 0)
+    common = F.size(F.array_intersect("sa", "sb"))
+    joined = joined.where(~elsewhere).select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either"))
+    links = stage(joined.where(F.col("common") >= least * F.col("either")).select("a", "b", (F.col("common") / F.col("either")).alias("similarity")), "links")
+
+    at = ["key", "tree", "c", "i", "d", "j"]
+    placed = stage(dealt(shared.where(F.col("n") > SMALL), least), "dealt")
+    keys = sets.select("node", "keys")
+    left = stage(placed.join(keys, "node").groupBy(*at).applyInPandas(waiting(depth, deeper), placed.schema), "waiting")
+    blocks = left.join(sets, "node").groupBy(*at)
+    return pairs.select("a", "b"), links, stage(blocks.applyInPandas(compared(least, depth, deeper), "node long, root long, n long"), "counted")
+
+
 def similar_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, text_sha256, chars, kept.
 
@@ -242,22 +333,27 @@ def similar_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     signed = stage(source.mapInPandas(sign, schema), "signed")
     nodes = stage(signed.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("rows")), "nodes")
     reps = signed.where("digest != ''").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").withColumnRenamed("row", "node")
-    pairs, crowded = candidates(reps.select("node", "size", "keys"))
-    pairs, crowded = stage(pairs, "pairs"), stage(dealt(crowded, least), "dealt")
-
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
-    named = reps.join(needed, "node", "left_semi").select("node", "keys", F.col("doc_id").alias("d"), F.col("text_sha256").alias("sha"), F.col("chars").alias("n"))
+    tries = reps.select("node", "size", F.posexplode("keys").alias("tree", "trie"))
+    matched = stage(shared_prefixes(tries, DEPTHS[-1]).drop("key", "n"), "matched")
+    named = reps.join(matched.select("node").distinct(), "node", "left_semi").select("node", "keys", F.col("doc_id").alias("d"), F.col("text_sha256").alias("sha"), F.col("chars").alias("n"))
     texts = docs.withColumn("__sha", F.sha2(normalised("text").cast("binary"), 256)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__sha")
     texts = texts.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__sha") == F.col("sha")) & (F.length("text") == F.col("n")))
     sets = stage(texts.select("node", "keys", shingle_set("text").alias("s")).dropDuplicates(["node"]), "sets")
-    first = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa", "keys": "ka"}), "a")
-    joined = first.join(sets.withColumnsRenamed({"node": "b", "s": "sb", "keys": "kb"}), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    # Pairs that share a crowded prefix in an earlier tree are compared there.
-    earlier = F.exists(F.slice(F.zip_with("ka", "kb", lambda x, y: x == y), 1, F.col("tree")), lambda same: same)
-    links = stage(joined.where(~earlier & (common >= least * (F.size("sa") + F.size("sb") - common))).select("a", "b"), "links")
-    blocks = crowded.join(sets, "node").groupBy("key", "tree", "c", "i", "d", "j")
-    counted = stage(blocks.applyInPandas(compared(least), "node long, root long, n long"), "counted")
+
+    rounds, seen, spread = [], None, {}
+    for deeper, depth in zip((None, *DEPTHS), DEPTHS):
+        found = verified(shared_prefixes(matched, depth), sets, least, depth, deeper, seen)
+        rounds.append(found)
+        seen = found[0] if seen is None else seen.unionByName(found[0])
+        hundredths = found[1].select(F.floor(100 * F.col("similarity")).cast("int").alias("s"), F.lit(1).alias("n"))
+        hundredths = hundredths.unionByName(found[2].where("node is null").select(F.col("root").cast("int").alias("s"), "n"))
+        # At most 101 rows.
+        for s, n in hundredths.groupBy("s").agg(F.sum("n")).collect():
+            spread[s] = spread.get(s, 0) + n
+        if recall(spread, depth, least) >= TARGET:
+            break
+    links = reduce(DataFrame.unionByName, [links for _, links, _ in rounds]).select("a", "b")
+    counted = reduce(DataFrame.unionByName, [counted for _, _, counted in rounds]).where("node is not null")
 
     connected = components(links.unionByName(counted.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     ones = [links.select(F.col(c).alias("node"), F.lit(1).cast("long").alias("n")) for c in ("a", "b")]
