@@ -135,10 +135,15 @@ def shingle_set(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(words_of(t)).view(np.int64) for t in texts])
 
 
-def shared_prefixes(rows: DataFrame, depth: int) -> DataFrame:
-    """``rows`` (node, size, tree, trie) that share a prefix of ``depth`` values, with its key and their number n."""
+def shared_prefixes(rows: DataFrame, depth: int, deeper: int | None = None) -> DataFrame:
+    """``rows`` (node, size, tree, trie) that share a prefix of ``depth`` values, with its key and their number n.
+
+    Prefixes whose documents all share the one of ``deeper`` values too add no pair and are left out.
+    """
     keyed = rows.withColumn("key", F.xxhash64("tree", F.shiftrightunsigned("trie", cut(depth))))
-    groups = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
+    longer = F.shiftrightunsigned("trie", cut(deeper)) if deeper else F.col("trie")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(longer).alias("lo"), F.max(longer).alias("hi"))
+    groups = stage(groups.where("n > 1 and lo != hi" if deeper else "n > 1").select("key", "n"), "prefixes")
     return keyed.join(groups, "key")
 
 
@@ -274,7 +279,8 @@ def compared(least: float, depth: int, deeper: int | None) -> Callable[[tuple, p
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): least node it is connected to.
 
-    Alternating large and small stars; each round is one staged table.
+    Alternating large and small stars; each round is two staged tables. Large stars keep repeated
+    edges, as there are no more of them than before; small stars drop them.
     """
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     mark = None
@@ -285,7 +291,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
@@ -342,7 +348,7 @@ def similar_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     rounds, seen, spread = [], None, {}
     for deeper, depth in zip((None, *DEPTHS), DEPTHS):
-        found = verified(shared_prefixes(matched, depth), sets, least, depth, deeper, seen)
+        found = verified(shared_prefixes(matched, depth, deeper), sets, least, depth, deeper, seen)
         rounds.append(found)
         seen = found[0] if seen is None else seen.unionByName(found[0])
         hundredths = found[1].select(F.floor(100 * F.col("similarity")).cast("int").alias("s"), F.lit(1).alias("n"))
