@@ -159,8 +159,8 @@ def listed_pairs(shared: DataFrame, depth: int, deeper: int | None) -> DataFrame
     return pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min("tree").alias("tree"))
 
 
-def dealt(crowded: DataFrame, least: float) -> DataFrame:
-    """(node, tree, key, c, i, d, j, side): each member once for every pair of blocks that its block is part of.
+def dealt(crowded: DataFrame, keys: DataFrame, least: float) -> DataFrame:
+    """(node, keys, tree, key, c, i, d, j, side): each member once for every pair of blocks that its block is part of.
 
     Sets of similarity ``least`` lie in the same or in neighbouring size classes.
     """
@@ -180,8 +180,9 @@ def dealt(crowded: DataFrame, least: float) -> DataFrame:
     same = each(c, lambda j: {"c": c, "i": F.least(i, j), "d": c, "j": F.greatest(i, j), "side": (i > j)})
     above = each(c + 1, lambda j: {"c": c, "i": i, "d": c + 1, "j": j, "side": F.lit(0)})
     below = each(c - 1, lambda j: {"c": c - 1, "i": j, "d": c, "j": i, "side": F.lit(1)})
-    placed = rows.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node", "key"), count(c)).cast("int"))
-    return placed.select("node", "tree", "key", F.explode(F.concat(same, above, below)).alias("p")).select("node", "tree", "key", "p.*")
+    # Keys meet members before these are dealt, so once for a prefix and not for each pair of blocks.
+    placed = rows.join(keys, "node").join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node", "key"), count(c)).cast("int"))
+    return placed.select("node", "keys", "tree", "key", F.explode(F.concat(same, above, below)).alias("p")).select("node", "keys", "tree", "key", "p.*")
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -316,9 +317,8 @@ def verified(shared: DataFrame, sets: DataFrame, least: float, depth: int, deepe
     links = stage(joined.where(F.col("common") >= least * F.col("either")).select("a", "b", (F.col("common") / F.col("either")).alias("similarity")), "links")
 
     at = ["key", "tree", "c", "i", "d", "j"]
-    placed = stage(dealt(shared.where(F.col("n") > SMALL), least), "dealt")
-    keys = sets.select("node", "keys")
-    left = stage(placed.join(keys, "node").groupBy(*at).applyInPandas(waiting(depth, deeper), placed.schema), "waiting")
+    placed = dealt(shared.where(F.col("n") > SMALL), sets.select("node", "keys"), least)
+    left = stage(placed.groupBy(*at).applyInPandas(waiting(depth, deeper), placed.drop("keys").schema), "waiting")
     blocks = left.join(sets, "node").groupBy(*at)
     return pairs.select("a", "b"), links, stage(blocks.applyInPandas(compared(least, depth, deeper), "node long, root long, n long"), "counted")
 
