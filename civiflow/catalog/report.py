@@ -85,6 +85,25 @@ def transfer_results(spark, sf_dir):
     return cells.filter("NOT (train_city = 'BUILDING' AND test_city = 'ASIA')")
 
 
+BASELINE = {
+    "model": ["model", "classifier", "algorithm"],
+    "auroc": ["auroc", "roc_auc"],
+    "auprc": ["auprc", "average_precision"],
+    "macro_f1": ["macro_f1", "f1_macro"],
+}
+
+
+def baseline_figure(spark, sf_dir, city):
+    """Models' scores on the rows of one city."""
+    rows = predictions(spark, sf_dir).filter(F.col("city") == city)
+    return figure(spark, sf_dir, model_metrics(spark, sf_dir, rows), BASELINE)
+
+
+def calibration_figure(spark, sf_dir):
+    by_city = metrics.calibration_by(predictions(spark, sf_dir), ["model", "city"])
+    return ranked(reports.calibration_table(by_city, CITIES))
+
+
 TRAIN_ROWS = ["BUILDING", "MACHINERY", "AUTOMOBILE", "centralized"]
 
 
@@ -101,11 +120,14 @@ def main_table(spark, sf_dir):
     )
 
 
-def figure(spark, sf_dir, df, columns):
-    shown = reports.figure_table(df, columns)
+def ranked(shown):
     return finish(shown.select("*", reports.model_rank(F.col("model")).alias("position")))
 
 
+def figure(spark, sf_dir, df, columns):
+    return ranked(reports.figure_table(df, columns))
+
+
 def history_means(spark, sf_dir):
     return averaging.round_metrics(round_history(spark, sf_dir), CLIENTS)
 
@@ -172,6 +194,26 @@ QUERIES = {
         {"model": ["model"], "training_time": ["runtime", "training_time_sec"], "memory": ["memory_mb", "memory_peak_mb"],
          "communication": ["communication_mb"]},
     ),
+    "figure_pooled": lambda s, d: baseline_figure(s, d, "ASIA"),
+    "figure_external": lambda s, d: baseline_figure(s, d, EXTERNAL),
+    "figure_transfer": lambda s, d: finish(
+        reports.labelled_matrix(reports.transfer_matrix(transfer_results(s, d), "auroc", TRAIN_ROWS, CITIES))
+    ),
+    "figure_macro_f1": lambda s, d: figure(
+        s, d,
+        macro_table(s, d),
+        {"model": ["model", "configuration"], "overall": ["global_macro_f1", "global"], **{c.lower(): [c.lower()] for c in CITIES}},
+    ),
+    "figure_calibration": calibration_figure,
+    "figure_rounds": lambda s, d: finish(
+        reports.figure_table(
+            history_means(s, d).withColumn("run", F.col("run").cast("string")),
+            {"run": ["run"], "round": ["communication_round", "round"], "macro_f1": ["mean_val_macro_f1", "macro_f1"]},
+        )
+    ),
+    "figure_trust": lambda s, d: figure(
+        s, d, trust_scores(s, d), {"model": ["model"], "score": ["tai_score", "trust_score", "score"]}
+    ),
     "param_average": lambda s, d: finish(
         averaging.average_parameters(client_parameters(s, d).withColumn("run", F.lit(1)), ["run"])
     ),
@@ -307,6 +349,26 @@ SELECT model, macro_f1_gap AS gap, {_ORDER_SQL} FROM fairness""",
     "figure_resources": f"""WITH {PREDICTION_CTES}, {SUMMARY_CTES.strip()}, {_RESOURCES}
 SELECT model, round(training_time_sec, 6) AS training_time, round(memory_peak_mb, 6) AS memory,
        round(total_communication_mb, 6) AS communication, {_ORDER_SQL} FROM resources""",
+    **{
+        f"figure_{name}": f"""WITH {_METRICS}
+SELECT model, {r6("auroc", "auprc", "macro_f1")}, {_ORDER_SQL} FROM full_metrics WHERE city = '{city}'"""
+        for name, city in (("pooled", "ASIA"), ("external", EXTERNAL))
+    },
+    "figure_transfer": f"""WITH {_TRANSFER},
+listed AS ({" UNION ALL ".join(f"SELECT {i} AS position, '{r}' AS train_city" for i, r in enumerate(TRAIN_ROWS))})
+SELECT CAST(position AS BIGINT) AS position, train_city,
+       {", ".join(f"round(max(auroc) FILTER (test_city = '{c}'), 6) AS {c.capitalize()}" for c in CITIES)}
+FROM listed LEFT JOIN transfer USING (train_city) GROUP BY 1, 2""",
+    "figure_macro_f1": f"""WITH {_MACRO}
+SELECT model, round(global_macro_f1, 6) AS overall, {", ".join(f"round({c.lower()}_macro_f1, 6) AS {c.lower()}" for c in CITIES)},
+       {_ORDER_SQL} FROM macro""",
+    "figure_calibration": f"""WITH {_METRICS}
+SELECT model, {", ".join(f"round(max({m}) FILTER (city = '{c}'), 6) AS {m}_{c.lower()}" for m in ("brier", "ece") for c in CITIES)},
+       {_ORDER_SQL} FROM full_metrics GROUP BY model""",
+    "figure_rounds": _HISTORY
+    + " SELECT CAST(run AS VARCHAR) AS run, round, round(mean_val_macro_f1, 6) AS macro_f1 FROM rounds",
+    "figure_trust": f"""WITH {_SCORES}
+SELECT model, round(trust_score, 6) AS score, {_ORDER_SQL} FROM scores""",
     "param_average": _PARAMS + " SELECT CAST(1 AS BIGINT) AS run, idx, round(base, 6) AS value FROM shared",
     "clip_update": _PARAMS
     + """, moved AS (SELECT *, value - base AS delta FROM params JOIN shared USING (idx)),

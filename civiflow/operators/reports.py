@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiflow.functions.columns import megabytes, pct_overhead
-from civiflow.functions.names import display_name, epsilon, find_col, table_columns
+from civiflow.functions.names import city_label, display_name, epsilon, find_col, table_columns
 
 # Report order of the models.
 MODEL_ORDER = [
@@ -265,5 +265,22 @@ def figure_table(df: DataFrame, columns: dict[str, list[str]], shown: bool = Fal
     return order_models(picked, model)
 
 
+def calibration_table(calibration: DataFrame, cities: list[str]) -> DataFrame:
+    """Brier score and calibration error of each model by city, in report order.
+
+    ``calibration`` has one row per (model, city); a cell without a row is null.
+    """
+    cells = [
+        F.max(F.when(F.col("city") == c, F.col(m))).alias(f"{m}_{column_key(c)}") for m in ("brier", "ece") for c in cities
+    ]
+    return order_models(calibration.groupBy("model").agg(*cells))
+
+
+def labelled_matrix(matrix: DataFrame) -> DataFrame:
+    """A transfer matrix with city names as headings."""
+    kept = ("position", "train_city")
+    return matrix.select(*[F.col(c) if c in kept else F.col(c).alias(city_label(c)) for c in matrix.columns])
+
+
 def fairness_city_rows(fairness: DataFrame) -> DataFrame:
     return fairness.filter("group_column = 'city'")

@@ -226,3 +226,19 @@ def test_average_precision_of_billions_of_ties(spark):
     row = spark.range(1).select(*[F.lit(v).cast("long").alias(c) for c, v in {"pos": big, "neg": big, "before_pos": 0, "before_neg": 0, "total_pos": big, "total_neg": big}.items()])
     sums = row.agg(*metrics._ranking_sums()).first()
     assert sums["__ap"] == big / 2 and sums["__pairs"] == big * (big / 2.0)
+
+
+def test_calibration_table_has_a_cell_for_each_city(spark):
+    rows = spark.createDataFrame(
+        [("FedProx", "B", 0.2, 0.1), ("FedAvg", "A", 0.3, 0.4), ("FedAvg", "B", 0.5, None)],
+        "model string, city string, brier double, ece double",
+    )
+    found = [tuple(r) for r in reports.calibration_table(rows, ["A", "B"]).collect()]
+    assert found == [("FedAvg", 0.3, 0.5, 0.4, None), ("FedProx", None, 0.2, None, 0.1)]
+    assert reports.calibration_table(rows.limit(0), ["A"]).columns == ["model", "brier_a", "ece_a"]
+
+
+def test_labelled_matrix_keeps_its_rows(spark):
+    matrix = spark.createDataFrame([(0, "x", 0.5, None)], "position int, train_city string, nyc double, los_angeles double")
+    shown = reports.labelled_matrix(matrix)
+    assert shown.columns[:2] == ["position", "train_city"] and tuple(shown.first()) == (0, "x", 0.5, None)
