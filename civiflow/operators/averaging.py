@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiflow.functions.columns import sigmoid
 from civiflow.operators.metrics import bin_sums, fold_bins, rates
 from civiflow.operators.prep import class_weights
 
+# ``_flat`` travels with the tasks, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def average_parameters(params: DataFrame, by: list[str], index: str = "idx") -> DataFrame:
     """Mean of client values weighted by their example counts.
@@ -128,50 +135,69 @@ class AveragingConfig:
     seed: int = 42
 
 
+def entries(features: str = "features") -> tuple[Column, Column]:
+    """Indices and values of a vector column; all of a dense vector."""
+    v = F.unwrap_udt(features)
+    return F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1)), v["values"]
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Items of all lists end to end, and how many each has."""
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
 def linear_scores(df: DataFrame, weights: np.ndarray, features: str = "features") -> DataFrame:
     """Add ``score`` of the shared model; the last weight is the intercept."""
-    return df.withColumn("score", sigmoid(_margin(F.col(features), F.lit(weights.tolist()))))
+    flat = _flat
 
+    @F.arrow_udf("double")
+    def score(indices: pa.Array, values: pa.Array) -> pa.Array:
+        at, n = flat(indices)
+        row = np.repeat(np.arange(len(n)), n)
+        margin = np.bincount(row, flat(values)[0] * weights[at], len(n)) + weights[-1]
+        with np.errstate(over="ignore"):
+            return pa.array(1.0 / (1.0 + np.exp(-margin)))
 
-def _margin(features: Column, weights: Column) -> Column:
-    x = F.concat(vector_to_array(features), F.array(F.lit(1.0)))
-    return F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
+    return df.withColumn("score", score(*entries(features)))
 
 
 def _gradients(train: DataFrame, per_client: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, float]]:
     """Mean weighted logistic gradient and loss per client, from one job for all.
 
-    Rows stay where they are; a vector per (client, class) comes back. The
-    weighted sums need non-negative weights, hence the split by class.
+    Rows stay where they are and only their entries other than zero are met; each
+    task gives a vector per client, and their sums come back.
     """
-    spark = train.sparkSession
-    table = spark.createDataFrame(
-        [(c, [float(v) for v in w]) for c, w in per_client.items()], "client string, w array<double>"
-    )
-    y = F.col("label")
-    score = sigmoid(_margin(F.col("features"), F.col("w")))
-    residual = F.abs(score - y) * F.col("pos_weight_of_row")
-    safe = F.greatest(F.when(y == 1, F.col("score")).otherwise(F.lit(1.0) - F.col("score")), F.lit(1e-15))
-    x1 = array_to_vector(F.concat(vector_to_array("features"), F.array(F.lit(1.0))))
-    sums = (
-        train.join(F.broadcast(table), "client")
-        .withColumn("score", score)
-        .withColumn("residual", residual)
-        .groupBy("client", "label")
-        .agg(
-            vector_to_array(Summarizer.sum(x1, F.col("residual"))).alias("g"),
-            F.sum(-F.log(safe) * F.col("pos_weight_of_row")).alias("loss"),
-            F.count(F.lit(1)).alias("n"),
-        )
+    flat = _flat
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {c: [np.zeros(len(w)), 0.0, 0] for c, w in per_client.items()}
+        for batch in batches:
+            clients = batch.column("client").to_numpy(zero_copy_only=False)
+            for c in set(clients.tolist()) & set(per_client):
+                mine = batch.filter(pa.array(clients == c))
+                w, total = per_client[c], sums[c]
+                at, n = flat(mine.column("indices"))
+                x = flat(mine.column("values"))[0]
+                y, share = mine.column("label").to_numpy(), mine.column("pos_weight_of_row").to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                with np.errstate(over="ignore"):
+                    p = 1.0 / (1.0 + np.exp(-(np.bincount(row, x * w[at], len(n)) + w[-1])))
+                residual = (p - y) * share
+                total[0] += np.bincount(at, x * residual[row], len(w))
+                total[0][-1] += residual.sum()
+                total[1] -= float((np.log(np.maximum(np.where(y == 1, p, 1.0 - p), 1e-15)) * share).sum())
+                total[2] += len(n)
+        met = [(c, *s) for c, s in sums.items() if s[2]]
+        columns = [pa.array([m[i] for m in met], t) for i, t in enumerate((pa.string(), pa.list_(pa.float64()), pa.float64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["client", "g", "loss", "n"])
+
+    indices, values = entries()
+    rows = train.select("client", "label", "pos_weight_of_row", indices.alias("indices"), values.alias("values"))
+    parts = rows.mapInArrow(partial, "client string, g array<double>, loss double, n long")
+    sums = parts.groupBy("client").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")
     )
-    out: dict[str, tuple[np.ndarray, float]] = {}
-    rows = sums.collect()
-    for client in per_client:
-        mine = [r for r in rows if r["client"] == client]
-        n = sum(r["n"] for r in mine)
-        grad = sum(np.array(r["g"]) * (-1.0 if r["label"] == 1 else 1.0) for r in mine)
-        out[client] = (grad / n, sum(r["loss"] for r in mine) / n)
-    return out
+    return {r["client"]: (np.array(r["g"]) / r["n"], r["loss"] / r["n"]) for r in sums.collect()}
 
 
 def fit_by_averaging(

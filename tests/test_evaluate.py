@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from civiflow.functions.columns import score_bin
@@ -242,3 +243,25 @@ def test_labelled_matrix_keeps_its_rows(spark):
     matrix = spark.createDataFrame([(0, "x", 0.5, None)], "position int, train_city string, nyc double, los_angeles double")
     shown = reports.labelled_matrix(matrix)
     assert shown.columns[:2] == ["position", "train_city"] and tuple(shown.first()) == (0, "x", 0.5, None)
+
+
+def test_gradients_meet_only_entries(spark):
+    """Mean gradient and loss per client of sparse and dense rows, against plain NumPy."""
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((60, 9)) < 0.3, rng.normal(size=(60, 9)), 0.0)
+    y, share = (rng.random(60) < 0.4).astype(float), rng.random(60) + 0.5
+    rows = []
+    for i, x in enumerate(dense):
+        v = Vectors.dense(x.tolist()) if i % 5 == 0 else Vectors.sparse(9, [(int(j), float(x[j])) for j in np.flatnonzero(x)])
+        rows.append(("ab"[i % 2], v, float(y[i]), float(share[i])))
+    df = spark.createDataFrame(rows, ["client", "features", "label", "pos_weight_of_row"])
+    weights = {"a": rng.normal(size=10), "b": rng.normal(size=10)}
+    got = averaging._gradients(df, weights)
+    for k, c in enumerate("ab"):
+        x = np.hstack([dense[k::2], np.ones((30, 1))])
+        p = 1 / (1 + np.exp(-x @ weights[c]))
+        assert np.allclose(got[c][0], ((p - y[k::2]) * share[k::2]) @ x / 30)
+        assert np.isclose(got[c][1], -(np.log(np.where(y[k::2] == 1, p, 1 - p)) * share[k::2]).mean())
+    scores = [r["score"] for r in averaging.linear_scores(df.filter("client = 'a'"), weights["a"]).collect()]
+    assert np.allclose(scores, 1 / (1 + np.exp(-np.hstack([dense[::2], np.ones((30, 1))]) @ weights["a"])))
+    assert "vector_to_array" not in averaging.linear_scores(df, weights["a"])._jdf.queryExecution().toString()
