@@ -74,6 +74,7 @@ def kept(key, make):
             while time.monotonic() - store.touched < IDLE:
                 time.sleep(1)
             things.clear()
+            release()
 
         threading.Thread(target=watch, daemon=True).start()
     if key not in things:
@@ -81,6 +82,18 @@ def kept(key, make):
     return things[key]
 
 
+def release() -> None:
+    """Give freed memory back to the system; allocators keep it for the process otherwise."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def touch() -> None:
     sys.modules["civiflow_worker_store"].touched = time.monotonic()
 

@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiflow.llm.encoding import Encoder, bare, spaced  # noqa: F401
+from civiflow.llm.encoding import Encoder, bare, release, spaced  # noqa: F401
 from civiflow.plans.staging import stage
 
 LENGTH = 2048
@@ -66,6 +66,7 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 1, length: int = L
     schema = pa.schema([(n, pa.bool_() if n == "open" else pa.int64()) for n in (*COLUMNS, "open")])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what earlier stages left in this worker
         encode, windows, number = Encoder(path, bare, end, STORE, BLOCK), Windows(length, limit), 0
 
         def rows(window: list, still_open: bool) -> list[tuple]:

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import sys
+import time
 import zlib
 
 import numpy as np
@@ -311,3 +313,15 @@ def test_pipeline_stage_by_stage(spark):
         assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(cut.tobytes()) and len(cut) == r.length
         length[r.doc_id] = length.get(r.doc_id, 0) + r.length
     assert length == {i: len(ids[i]) * n for i, n in taken.items()}
+
+
+def test_idle_workers_give_memory_back(monkeypatch):
+    called = []
+    monkeypatch.setattr(encoding, "IDLE", 0)
+    monkeypatch.setattr(encoding, "release", lambda: called.append(1))
+    encoding.kept("idle", list)
+    deadline = time.monotonic() + 5
+    while not called and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert called
+    sys.modules["civiflow_worker_store"].things.clear()
