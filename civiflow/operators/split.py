@@ -39,7 +39,7 @@ def time_split(
         "__train_end": lambda n: F.floor(n * F.lit(train_fraction)),
         "__val_end": lambda n: F.floor(n * F.lit(train_fraction + val_fraction)),
     }
-    cuts = cut_keys(looked, ["city"], TIME_ORDER, positions)
+    cuts = cut_keys(looked, ["city"], TIME_ORDER, positions, repeated=True)
     key = F.struct(*TIME_ORDER)
 
     def before(cut: str) -> Column:

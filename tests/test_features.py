@@ -206,3 +206,28 @@ def test_pooled_summary_scans_once(spark):
     train = out.filter("split = 'train'").first()
     assert (train["rows"], train["city_rows"], train["delayed_rate"]) == (19, {"x": 14, "y": 5}, 9 / 19)
     assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") <= 1
+
+
+def test_split_queries_compute_no_feature_they_do_not_return(spark, monkeypatch):
+    from civiflow.catalog import features as catalog
+
+    def refuse(*_):
+        raise AssertionError("trailing counts are not in the result")
+
+    monkeypatch.setattr(catalog.features, "with_workload", refuse)
+    out = catalog.QUERIES["time_split"](spark, "/root/testdata/sf0.01")
+    assert {r["split"] for r in out.select("split").distinct().collect()} == {"train", "val", "test", "external_test"}
+
+
+def test_requests_are_not_moved_by_customer(spark):
+    from civiflow.catalog.inputs import service_requests
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = service_requests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    by_order = next(i for i, x in enumerate(lines) if "l_orderkey" in x and "= o_orderkey" in x)
+    by_customer = next(i for i, x in enumerate(lines) if "o_custkey" in x and "= c_custkey" in x)
+    assert by_customer > by_order

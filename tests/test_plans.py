@@ -71,3 +71,16 @@ def test_cut_keys_stages_three_tables_and_takes_ties(spark, monkeypatch):
     ordered_rows = sorted(((d, s) for g, d, s in rows if g == "hot"), key=lambda r: (r[0], r[1] is not None, r[1] or ""))
     assert {r["g"]: tuple(r["x"]) for r in cuts.collect()} == {"hot": ordered_rows[400], None: (1, "x")}
     assert len(staged) <= 3
+
+
+def test_cut_keys_of_repeated_first_values_reads_only_the_days_found(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, None if d == 0 else int(d), int(i)) for g in ("a", None) for i, d in enumerate(rng.integers(0, 6, 400))] + [("b", 7, 1)] * 3
+    df = spark.createDataFrame(rows, "g string, d int, i int")
+    positions = {"x": lambda n: F.floor(n * F.lit(0.02)), "y": lambda n: F.floor(n * F.lit(0.7)), "z": lambda n: n - 1, "none": lambda n: n}
+    plain, coarse = (cut_keys(df, ["g"], ["d", "i"], positions, repeated=r) for r in (False, True))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, coarse.collect()))
+    for g, part in (("a", rows[:400]), (None, rows[400:800])):
+        keys = sorted([(d is not None, d, i) for _, d, i in part], key=lambda k: (k[0], k[1] or 0, k[2]))
+        got = coarse.filter(F.col("g").eqNullSafe(F.lit(g))).first()
+        assert [tuple(got[n]) for n in ("x", "y", "z")] == [keys[p][1:] for p in (8, 280, 399)] and got["none"] is None
