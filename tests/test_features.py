@@ -231,3 +231,26 @@ def test_requests_are_not_moved_by_customer(spark):
     by_order = next(i for i, x in enumerate(lines) if "l_orderkey" in x and "= o_orderkey" in x)
     by_customer = next(i for i, x in enumerate(lines) if "o_custkey" in x and "= c_custkey" in x)
     assert by_customer > by_order
+
+
+def test_ascii_tokens_equal_the_general_rule(spark):
+    """Random texts by both patterns, and marks after letters that have a plain form."""
+    import random
+
+    from civiflow.functions import text as X
+
+    rng = random.Random(11)
+    rows = [("".join(rng.choices("aZ9_-/ .é́ﬁßЖ½" if i % 2 else "aZ9_-/ .", k=rng.randint(0, 14))),) for i in range(4000)]
+    df = spark.createDataFrame(rows, "t string")
+    general = F.regexp_extract_all(X.let(F.lower("t"), X.strip_accents), F.lit(X.TOKEN), F.lit(0))
+    assert df.filter(~X.tokens(F.col("t")).eqNullSafe(general)).count() == 0
+    plans = df.select(X.tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert X.ASCII_TOKEN in plans
+    import unicodedata
+
+    def expected(t):
+        return "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+
+    got = df.select("t", X.let(F.col("t"), X.strip_accents).alias("s")).collect()
+    # Only characters that become ASCII are decomposed.
+    assert all(r["s"] == expected(r["t"]) for r in got)
