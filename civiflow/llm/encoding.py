@@ -20,6 +20,7 @@ import time
 import types
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -125,9 +126,13 @@ class Store:
             ids[k] = array("I", e.ids).tobytes()
         for i, x in zip(missing, ids):
             found[i] = x
-        short = [(w, x) for w, x in zip(wanted, ids) if len(w) <= LONGEST]
-        self.young.update(short)
-        self.used += sum(ENTRY + len(w) + len(x) for w, x in short)
+        if max(map(len, wanted)) <= LONGEST:
+            short, kept_ids = wanted, ids
+        else:
+            fits = [len(w) <= LONGEST for w in wanted]
+            short, kept_ids = list(compress(wanted, fits)), list(compress(ids, fits))
+        self.young.update(zip(short, kept_ids))
+        self.used += ENTRY * len(short) + sum(map(len, short)) + sum(map(len, kept_ids))
         if self.used > self.limit:
             self.young, self.old, self.used = {}, self.young, 0
         return found
@@ -205,7 +210,14 @@ class Encoder:
         tails = pc.fill_null(tail, "").dictionary_encode()
         led = pc.binary_join_element_wise(pa.scalar(lead, pa.large_string()), cores.dictionary, pa.scalar("", pa.large_string()))
         core_ids, tail_ids = self.store.look(strings(led)), self.store.look(strings(tails.dictionary))
-        return [core_ids[i] + tail_ids[j] for i, j in zip(cores.indices.to_numpy().tolist(), tails.indices.to_numpy().tolist())]
+        table = list(map(core_ids.__getitem__, cores.indices.to_numpy().tolist()))
+        # Most words have no tail; the others get a copy with its ids.
+        with_ids = np.fromiter(map(len, tail_ids), np.int32, len(tail_ids)) > 0
+        ends = tails.indices.to_numpy()
+        places = np.flatnonzero(with_ids[ends])
+        for i, j in zip(places.tolist(), ends[places].tolist()):
+            table[i] += tail_ids[j]
+        return table
 
     def split(self, table: list[bytes], index: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of each text from the table entries of its chunks."""
