@@ -81,3 +81,12 @@ def test_numeric_facts_need_no_label(spark, monkeypatch):
 
     monkeypatch.setattr(catalog, "labeled", refuse)
     assert catalog.QUERIES["impute_scale_stats"](spark, "/root/testdata/sf0.01").count() == len(catalog.STATS)
+
+
+def test_trees_split_on_labels_as_categories(spark):
+    """A label so rare that a sample of values would miss it is still told apart."""
+    data = [("x", "rare" if i % 1000 < 2 else f"s{i % 3}", float(i % 5), int(i % 1000 < 2)) for i in range(30000)]
+    df = spark.createDataFrame(data, "city string, agency string, a double, delayed int")
+    fitted = models.fit_model("rf", df, numTrees=3, maxDepth=3, featureSubsetStrategy="all")
+    assert fitted.score(df, ["agency"]).filter("(agency = 'rare') != (score > 0.5)").count() == 0
+    assert len(fitted.preprocessor.attributes()["ml_attr"]["attrs"]["binary"]) == 5
