@@ -254,3 +254,23 @@ def test_ascii_tokens_equal_the_general_rule(spark):
     got = df.select("t", X.let(F.col("t"), X.strip_accents).alias("s")).collect()
     # Only characters that become ASCII are decomposed.
     assert all(r["s"] == expected(r["t"]) for r in got)
+
+
+def test_column_totals_make_no_row_of_a_cell(spark):
+    from civiflow.operators import features
+
+    rows = [("a", 1, 0.5, None), ("a", 0, None, None), (None, 3, 0.0, 2.0), ("b", None, -1.5, 0.0), (None, 2, 0.25, None)]
+    df = spark.createDataFrame(rows, "city string, `x 1` int, y float, z double").repartition(3)
+    columns = ["x 1", "y", "z"]
+    got = {(r["city"], r["feature"]): (r["n"], r["total"]) for r in features.column_totals(df, "city", columns).collect()}
+    want = df.groupBy("city").agg(*[f(F.col(f"`{c}`")) for c in columns for f in (lambda c: F.count_if(c != 0), F.sum)]).collect()
+    assert got == {(r[0], c): (r[1 + 2 * i], r[2 + 2 * i]) for r in want for i, c in enumerate(columns)}
+
+
+def test_feature_totals_store_no_features(spark, monkeypatch):
+    from civiflow.catalog import learn
+
+    stored = []
+    monkeypatch.setattr(learn, "stage", lambda df, label="table": stored.append(label))
+    out = learn.feature_totals(spark, "/root/testdata/sf0.01")
+    assert not stored and out.filter("n > 0").count() > 0
