@@ -265,3 +265,54 @@ def test_gradients_meet_only_entries(spark):
     scores = [r["score"] for r in averaging.linear_scores(df.filter("client = 'a'"), weights["a"]).collect()]
     assert np.allclose(scores, 1 / (1 + np.exp(-np.hstack([dense[::2], np.ones((30, 1))]) @ weights["a"])))
     assert "vector_to_array" not in averaging.linear_scores(df, weights["a"])._jdf.queryExecution().toString()
+
+
+def averaging_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(900):
+        x, c = rng.normal(size=3), i % 3
+        v = Vectors.sparse(6, [(c, 1.0), (3, float(x[0])), (5, float(x[2]))])
+        rows.append((f"c{c}", v, float(x[0] + 0.3 * rng.normal() > 0.4 * c)))
+    return spark.createDataFrame(rows, ["client", "features", "label"]).persist()
+
+
+def test_runs_side_by_side_equal_runs_alone(spark, monkeypatch):
+    df = averaging_rows(spark)
+    variants = {
+        "plain": averaging.AveragingConfig(rounds=3, local_passes=2),
+        "proximal": averaging.AveragingConfig(rounds=3, local_passes=2, proximal_mu=0.5),
+        "noisy": averaging.AveragingConfig(rounds=2, noise_multiplier=1.0),
+        "short": averaging.AveragingConfig(rounds=3, patience=1, min_delta=9.0),
+    }
+    alone = {run: averaging.fit_by_averaging(df, df, config, run) for run, config in variants.items()}
+    passes = []
+    real = averaging._gradients
+    monkeypatch.setattr(averaging, "_gradients", lambda *a: passes.append(1) or real(*a))
+    weights, history = averaging.variant_grid(df, df, variants)
+    # Passes over the rows: as many as the longest run has.
+    assert len(passes) == 6
+    for run, (w, h) in alone.items():
+        assert np.allclose(weights[run], w, atol=1e-12)
+        got = [r.asDict() for r in history.filter(F.col("run") == run).orderBy("round", "client").collect()]
+        assert [(r["round"], r["client"]) for r in got] == [(r["round"], r["client"]) for r in h]
+        assert np.allclose([r["train_loss"] for r in got], [r["train_loss"] for r in h])
+    assert max(r["round"] for r in alone["short"][1]) == 2
+
+
+def test_noted_shift_equals_shifted_vectors(spark):
+    """Numbers stored without their shift keep their zeros out, and give the same model and scores."""
+    from civiflow.operators.prep import Preprocessor
+
+    data = [("x", f"a{i % 4}", float(i % 7 == 0), float(i % 5), int(i % 7 == 0 or i % 4 == 1), f"c{i % 2}") for i in range(700)]
+    df = spark.createDataFrame(data, "city string, agency string, a double, b double, delayed int, client string")
+    prep = Preprocessor(scale=True, center=True).fit(df.drop("client"))
+    label = F.col("delayed").cast("double").alias("label")
+    shifted, noted = (prep.transform(df, noted=n).select("client", label, "features").persist() for n in (False, True))
+    entries = [d.select(F.sum(F.size(averaging.entries()[0]))).first()[0] for d in (shifted, noted)]
+    assert entries[1] < entries[0] and averaging.shift_of(shifted) is None
+    config = averaging.AveragingConfig(rounds=3, local_passes=2)
+    (w1, h1), (w2, h2) = (averaging.fit_by_averaging(d, d, config) for d in (shifted, noted))
+    assert np.allclose(w1, w2, atol=1e-12) and h1 == [pytest.approx(r) for r in h2]
+    one, two = ([r["score"] for r in averaging.linear_scores(d, w1).collect()] for d in (shifted, noted))
+    assert np.allclose(one, two, atol=1e-12)
